@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import idcodec, packing
+from sedimenta.llm import decontam, idcodec, packing, tokencount
 from sedimenta.llm.shared import documents
 
 
@@ -13,9 +13,17 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcodec.read(spark, path, idcodec.ids_crc32, "long").withColumnRenamed("ids", "ids_crc32")
 
 
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op6_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir))
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), cap=2048, end=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_huffman_ids, op7_exact_complement_packing)}
+QUERIES = {f.__name__: f for f in (op2_huffman_ids, op3_winnowing_decontamination, op6_pretoken_counts, op7_exact_complement_packing)}
 ORACLE_SQL: dict[str, str] = {}
