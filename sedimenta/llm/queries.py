@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import decontam, idcodec, packing, tokencount
+from sedimenta.llm import chat, decontam, idcodec, langid, neardup, packing, sharding, textkit, tokencount
 from sedimenta.llm.shared import documents
 
 
@@ -17,6 +17,13 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op5_family_svm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.held_out("doc_id")
+    model = langid.train(docs, ~out)
+    return langid.identify(docs.select("doc_id", "text", out.alias("held_out")), model, ["doc_id", "held_out"])
+
+
 def op6_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -25,5 +32,26 @@ def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), cap=2048, end=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_huffman_ids, op3_winnowing_decontamination, op6_pretoken_counts, op7_exact_complement_packing)}
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op9_preference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_segments(*chat.reply_pairs(documents(spark, sf_dir, "conversations")))
+
+
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), k=3, num=85, bands=32, rows=6, table=textkit.SPACED)
+
+OPERATORS = (
+    op2_huffman_ids,
+    op3_winnowing_decontamination,
+    op5_family_svm_language,
+    op6_pretoken_counts,
+    op7_exact_complement_packing,
+    op8_hilbert_shards,
+    op9_preference_segments,
+    op10_superminhash,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
