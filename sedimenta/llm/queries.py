@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, decontam, idcodec, langid, neardup, packing, sharding, textkit, tokencount
+from sedimenta.llm import chat, decontam, idcodec, langid, neardup, packing, passages, sharding, textkit, tokencount
 from sedimenta.llm.shared import documents
 
 
@@ -17,6 +17,10 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_family_svm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = langid.held_out("doc_id")
@@ -46,6 +50,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op2_huffman_ids,
     op3_winnowing_decontamination,
+    op4_chained_passages,
     op5_family_svm_language,
     op6_pretoken_counts,
     op7_exact_complement_packing,
