@@ -1,10 +1,62 @@
-"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, packing."""
+"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, packing.
+
+Stages take (spark, docs, sf_dir); docs has the columns of documents, and so has what every stage but
+the last returns."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedimenta.llm import decontam, langid, neardup, packing, passages
+from sedimenta.llm.shared import documents, stored
+
+LEAST_SCORE = 0.3
+"""Language scores below it are no language that was learned."""
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the labelled languages; without letters, or unlike all of them, they go."""
+    model = langid.train(docs, F.lit(True))
+    return langid.identify(docs, model).where(F.col("lang_pred") != "und").where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest id."""
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of at least 50 words that an earlier one has."""
+    return passages.without_passages(docs, passages.repeated_passages(docs)).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no 8-word window of a benchmark item."""
+    found = decontam.contamination(docs, documents(spark, sf_dir, "benchmark"), least_items=1)
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm import textkit
+from sedimenta.llm.shared import ddl, positional
 
 SAMPLE = 4000
 """Rows that the classifiers are fitted on, at most about so many; predictions cover all rows."""
@@ -152,21 +153,19 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     carried along; columns of docs named lang_pred or score are replaced. An empty table gives none."""
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    rows = docs.select(carried, F.col(text_col).alias("text"))
+    rows, back = positional(docs, names, text_col)
 
     def run(batches):
         model = shared.value
         for batch in batches:
             for b in textkit.slices(batch, "text"):
-                data, offs = textkit.utf8(b.column(1))
+                data, offs = textkit.utf8(b.column("text"))
                 has = _letters(b, data, offs)
                 lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
                 if model is not None and has.any():
                     rows_ = np.flatnonzero(has)
                     x = features(data, offs)
                     lang[rows_], score[rows_] = model.predict(x[rows_].astype(np.float64))
-                yield pa.record_batch([b.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+                yield pa.record_batch([*b.columns[1:], pa.array(lang.tolist(), pa.string()), pa.array(score)], [*b.schema.names[1:], "lang_pred", "score"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return back(rows.mapInArrow(run, f"{ddl(rows, 1)}lang_pred string, score double"), "lang_pred", "score")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, decontam, idcodec, langid, neardup, packing, passages, sharding, textkit, tokencount
+from sedimenta.llm import chat, decontam, idcodec, langid, media, neardup, packing, passages, sharding, textkit, tokencount
 from sedimenta.llm.shared import documents
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.media_of(documents(spark, sf_dir, "embeddings")))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = idcodec.write(documents(spark, sf_dir), end=2)
     return idcodec.read(spark, path, idcodec.ids_crc32, "long").withColumnRenamed("ids", "ids_crc32")
@@ -48,6 +52,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), k=3, num=85, bands=32, rows=6, table=textkit.SPACED)
 
 OPERATORS = (
+    op1_image_copies,
     op2_huffman_ids,
     op3_winnowing_decontamination,
     op4_chained_passages,

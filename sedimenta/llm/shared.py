@@ -47,9 +47,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_schema(df: DataFrame, names: list[str]) -> str:
-    """DDL of some columns of df."""
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+def positional(df: DataFrame, names: list[str], text_col: str):
+    """(df as text, c0, c1 ..., a function that gives the columns their names back), so that no name of a
+    caller's columns can clash with an operator's."""
+    rows = df.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return rows, lambda out, *more: out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *more)
+
+
+def ddl(rows: DataFrame, start: int) -> str:
+    """The schema of the columns from `start` on, ready for others to follow."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[start:])
 
 
 # ---- Bloom bitmaps -------------------------------------------------------------------------
