@@ -43,3 +43,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+_scratch: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; in plain local mode, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="sedimenta-")
+        atexit.register(shutil.rmtree, _scratch[app], ignore_errors=True)
+    return _scratch[app]
