@@ -282,7 +282,7 @@ def next_id(spark, sf_dir):
     return S.next_id(level_files(spark, sf_dir))
 
 
-@query(f"WITH {TARGETS}, l0 AS (SELECT min(first_key) AS a, max(last_key) AS z FROM files WHERE level = 0), base AS (SELECT min(level) AS b FROM targets WHERE level > 0 AND target > 0) SELECT file_id, level, b AS output FROM files, l0, base WHERE level = 0 OR (level = b AND last_key >= a AND first_key <= z)")
+@query(f"WITH {TARGETS}, l0 AS (SELECT min(first_key) AS a, max(last_key) AS z FROM files WHERE level = 0), base AS (SELECT min(level) AS b FROM targets WHERE level > 0 AND target > 0) SELECT file_id, level, b AS output FROM files, l0, base WHERE (SELECT count(*) FROM files WHERE level = 0) >= 4 AND (level = 0 OR (level = b AND last_key >= a AND first_key <= z))")
 def compaction_pick(spark, sf_dir):
     rows = [C.Segment(r.level, r.file_id, r.first_key.encode(), r.last_key.encode(), 0, r.data_len, 0, 0, "") for r in level_files(spark, sf_dir).collect()]  # a row for each file
     task = C.Leveled().pick(rows, LEVELS)
