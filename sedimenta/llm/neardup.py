@@ -7,22 +7,26 @@ lower one, and a document stops. Signatures are cut into bands; documents that s
 candidates, compared on full sets, and grouped by union-find.
 
 Buckets are never expanded into pairs while they are large. Equal sets are one node from the start.
-In a bucket one node, the centre, is compared with the others; nodes that are found linked need no
-further comparison, so only pairs between different components are left, and these come next, around
-other centres as long as there are more than a linear number, else all of them. No candidate link
-between components is dropped."""
+Shingles that no other candidate has bound what a node can share: a node with too many of them can be
+linked with nothing, and a pair whose bound is too low isn't compared; both are exact. In a bucket one
+node, the centre, is compared with the others; nodes that are found linked need no further comparison,
+so only pairs between different components are left, and these come next, around other centres as long
+as there are more than a linear number, else all of them. Later bands look only at buckets that still
+hold several components. No candidate link between components is dropped."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm import textkit
 from sedimenta.llm.shared import bloom, components, in_bloom, stored
 
 U = np.uint64
+FIRST = 8
+"""Bands that are taken before the others."""
 
 
 def shingles(col: pa.Array, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +121,10 @@ def fingerprints(docs: DataFrame, k: int, table: np.ndarray, bands: int, rows: i
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int, m: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures agree in a share of at least `least`."""
-    x = nodes.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("digest").alias("du"))
-    y = nodes.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("digest").alias("dv"))
-    both = pairs.join(x, "u").join(y, "v").where(F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)
+    """Pairs whose common shingles can be enough and whose signatures agree in a share of at least `least`."""
+    x = nodes.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("free").alias("fu"), F.col("digest").alias("du"))
+    y = nodes.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("free").alias("fv"), F.col("digest").alias("dv"))
+    both = pairs.join(x, "u").join(y, "v").where(_possible(num, den))
 
     def run(batches):
         for b in batches:
@@ -135,9 +139,14 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int
     return stored(both.select("u", "v", "du", "dv").mapInArrow(run, "u long, v long, same double"), "likely")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, table: np.ndarray, num: int, den: int) -> DataFrame:
-    """The pairs that hold on full sets."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+def _possible(num: int, den: int) -> Column:
+    """Whether sizes nu, nv with fu, fv shingles that others have too leave room for the similarity."""
+    most = F.least("fu", "fv")
+    return most * den >= (F.col("nu") + F.col("nv") - most) * num
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int, table: np.ndarray) -> DataFrame:
+    """(id, set) of the documents of ids."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids, "id"))
 
     def run(batches):
@@ -148,7 +157,24 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, table: np.ndarray, num:
                 e, offs = shingles(s.column(1), k, table)
                 yield pa.record_batch([s.column(0), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(e.view(np.int64)))], ["id", "set"])
 
-    sets = stored(docs.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi"), "sets")
+    return stored(docs.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi"), "sets")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Nodes with a bucket of at least two, and by the Bloom bitmap of such buckets perhaps some others."""
+    shared = nodes.sparkSession.sparkContext.broadcast(bloom(nodes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1"), "key"))
+
+    def run(batches):
+        for b in batches:
+            bands = b.column("bands")
+            hit = in_bloom(shared.value, bands.flatten().to_numpy().view(U)) if b.num_rows else np.zeros(0, bool)
+            yield b.filter(pa.array(hit.reshape(b.num_rows, -1).any(1)) if b.num_rows else pa.array([], pa.bool_()))
+
+    return nodes.mapInArrow(run, "n long, a long, b long, id long, bands array<long>, digest binary")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that hold on full sets."""
     x, y = sets.select(F.col("id").alias("u"), F.col("set").alias("su")), sets.select(F.col("id").alias("v"), F.col("set").alias("sv"))
     inter = F.size(F.array_intersect("su", "sv")).cast("long")
     both = pairs.select("u", "v").join(y, "v").join(x, "u").select("u", "v", inter.alias("i"), (F.size("su") + F.size("sv")).alias("t"))
@@ -178,10 +204,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     prints = stored(fingerprints(docs, k, table, bands, rows), "fingerprints")
     full = prints.where("n > 0 and id is not null")
     nodes = stored(full.groupBy("n", "a", "b").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("digest").alias("digest")), "nodes")
-    slim = nodes.select("id", "n", "digest")
-    buckets = nodes.select("id", F.explode("bands").alias("key"))
-    live = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_z")).where("centre <> _z").drop("_z"), "key")
-    live = stored(live, "buckets")
+    some = stored(_candidates(nodes), "candidates")
+    sets = _sets(docs, some.select("id").distinct(), k, table)
+    alone = sets.select("id", F.explode("set").alias("e")).groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").groupBy("id").agg(F.count("*").alias("own"))
+    rows_of = some.groupBy("id").agg(F.count("*").alias("rows"))  # of several texts with one id nothing is known
+    own = F.when(F.col("rows") == 1, F.coalesce("own", F.lit(0))).otherwise(0)
+    some = some.join(alone, "id", "left").join(rows_of, "id").withColumn("free", F.col("n") - own).where(F.col("free") * den >= F.col("n") * num)
+    some = stored(some.select("id", "n", "free", "digest", "bands"), "linkable")
+    slim = some.select("id", "n", "free", "digest")
     member: DataFrame | None = None
     links: DataFrame | None = None
     tested: DataFrame | None = None
@@ -196,38 +226,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             some = _between(likely, member)
             if best:  # first the likeliest centre of each node: most need no other
                 some = some.groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u")).select("u", "v")
-            elif first:
+            elif first and tested is not None:
                 some = some.join(tested, ["u", "v"], "left_anti")
             some = stored(some.select("u", "v").distinct(), "pairs")
             if some.isEmpty():
                 continue
-            good = _confirm(some, docs, k, table, num, den)
+            good = _confirm(some, sets, num, den)
             tested = some if tested is None else tested.union(some)
             links = good if links is None else links.union(good)
             if not good.isEmpty():
                 member = components(links)
 
-    first = True
-    while not live.isEmpty():
-        test(live.where("id <> centre").select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v")).distinct(), first)
-        first = False
-        rest = live.where("id <> centre").select("key", "id")
-        if member is not None:
-            rest = rest.join(member, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        else:
-            rest = rest.withColumn("c", F.col("id"))
-        rest = stored(rest, "rest")
-        mixed = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("cs")).where("cs > 1")
-        mixed = stored(mixed, "mixed")
-        pairs = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0]
-        if not pairs:
-            break
-        rest = rest.join(mixed.select("key"), "key", "left_semi")
-        if pairs <= 4 * live.count():  # linear: all of them
-            x, y = rest.select("key", F.col("id").alias("u"), F.col("c").alias("cu")), rest.select("key", F.col("id").alias("v"), F.col("c").alias("cv"))
-            test(x.join(y, "key").where("u < v and cu <> cv").select("u", "v").distinct(), False)
-            break
-        live = stored(rest.join(rest.groupBy("key").agg(F.min("id").alias("centre")), "key").select("id", "key", "centre"), "buckets")
+    def labelled(rows: DataFrame) -> DataFrame:
+        """rows with c, the component of id."""
+        if member is None:
+            return rows.withColumn("c", F.col("id"))
+        return rows.join(member, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("c"))
+
+    for start, count in ((1, FIRST), (FIRST + 1, bands - FIRST)):
+        rows = labelled(some.select("id", "n", "free", "bands")).select("id", "n", "free", "c", F.explode(F.slice("bands", start, count)).alias("key"))
+        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("centre")).where("lo <> hi").select("key", "centre")
+        live = stored(rows.join(mixed, "key").select("key", "id", "n", "free", "centre"), "buckets")
+        first = True
+        while not live.isEmpty():
+            test(live.where("id <> centre").select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v")).distinct(), first)
+            first = False
+            rest = stored(labelled(live.where("id <> centre").drop("centre")), "rest")
+            mixed = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("cs")).where("cs > 1")
+            mixed = stored(mixed, "mixed")
+            pairs = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0]
+            if not pairs:
+                break
+            rest = stored(rest.join(mixed.select("key"), "key", "left_semi"), "rest")
+            if pairs <= 4 * rest.count():  # linear: all of them
+                x = rest.select("key", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("free").alias("fu"))
+                y = rest.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("free").alias("fv"))
+                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _possible(num, den)).select("u", "v").distinct(), False)
+                break
+            live = stored(rest.join(rest.groupBy("key").agg(F.min("id").alias("centre")), "key").select("key", "id", "n", "free", "centre"), "buckets")
 
     same = nodes.select("n", "a", "b", F.col("id").alias("rep"))
     if member is not None:
