@@ -146,7 +146,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     empty table gives a file without blocks. Other columns are ignored. The file has two tables: `code`
     (id, length) and `blocks`."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/tables/huffman-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/tables/huffman-{uuid.uuid4().hex}"
     blocks = stored(tokens(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), end, id_col, text_col), "tokens")
 
     def count(batches):

@@ -53,17 +53,20 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised squared-hinge machine, classes weighted evenly; y is +1 or -1."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
-    w, b = np.zeros(x.shape[1]), 0.0
+    x = np.ascontiguousarray(x, np.float32)
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb, t = w.copy(), b, 1.0
     rate = 1.0 / (1.0 + 4 * c * float(weight.max()))
     for _ in range(steps):
-        gap = np.maximum(0, 1 - y * (x @ vw + vb)) * weight * y / len(y)
-        gw, gb = vw / len(y) - 2 * c * (x.T @ gap), -2 * c * gap.sum()
-        nw, nb = vw - rate * gw, vb - rate * gb
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        gap = np.maximum(0, 1 - y * (x @ vw + np.float32(vb))) * weight * y / np.float32(len(y))
+        gw, gb = vw / np.float32(len(y)) - np.float32(2 * c) * (gap @ x), -2 * c * float(gap.sum())
+        nw, nb = vw - np.float32(rate) * gw, vb - rate * gb
+        nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        step = (t - 1) / nt
+        vw, vb = nw + np.float32(step) * (nw - w), nb + step * (nb - b)
         w, b, t = nw, nb, nt
-    return w, float(b)
+    return w.astype(np.float64), float(b)
 
 
 class Model:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sedimenta.llm import chat, decontam, idcodec, langid, media, neardup, packing, passages, sharding, textkit, tokencount
 from sedimenta.llm.shared import documents
+from sedimenta.llm.sql import ORACLE_SQL
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,5 @@ OPERATORS = (
     op10_superminhash,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
