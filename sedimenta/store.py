@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,10 +169,9 @@ class Store:
 
     def _write(self, rows: DataFrame, level: int, edit: dict, parts: int | None = None, remove: tuple[int, ...] = ()) -> None:
         """Rows as sorted, range-partitioned Parquet with key Blooms, and the commit that makes them live."""
-        name = f"data/L{level}-{self.snapshot.next_file:08d}-v{self.snapshot.version + 1:08d}"
+        name = f"data/L{level}-{self.snapshot.next_file:08d}-{uuid.uuid4().hex[:12]}"  # a writer that loses leaves it to vacuum
         out = rows if parts == 1 else rows.repartitionByRange(parts, "key") if parts else rows.repartitionByRange("key")
         writer = out.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true")
-        self.files.delete(name)
         writer.parquet(f"{self.path}/{name}")
         made = self.spark.read.schema(MUTATION).parquet(f"{self.path}/{name}").withColumn("file", F.col("_metadata.file_path"))
         stats = made.groupBy("file").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("bytes"), F.min("commit").alias("lo"), F.max("commit").alias("hi"))
