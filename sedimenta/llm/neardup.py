@@ -27,6 +27,10 @@ from sedimenta.llm.shared import bloom, components, in_bloom, stored
 U = np.uint64
 FIRST = 8
 """Bands that are taken before the others."""
+TURNS = 2
+"""Centres that a bucket has at least, while it has more pairs than rows."""
+LINEAR = 16
+"""Pairs for each node that are formed at once after that; beyond it buckets get further centres."""
 
 
 def shingles(col: pa.Array, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +116,12 @@ def fingerprints(docs: DataFrame, k: int, table: np.ndarray, bands: int, rows: i
                     keys.append((total[offs[1:]] - total[offs[:-1]]).view(np.int64))
                 sig = signatures(e, offs, m)
                 band = band_keys(sig, bands, rows)
-                digest = (textkit.mix(sig) >> U(56)).astype(np.uint8)
+                digest = (textkit.mix(sig) >> U(56)).astype(np.uint8).view(np.int8)
                 cut = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(band[some].reshape(-1).view(np.int64)))
-                yield pa.record_batch([s.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array([x.tobytes() for x in digest], pa.binary())], ["id", "n", "a", "b", "bands", "digest"])
+                yield pa.record_batch([s.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), lists, pa.FixedSizeListArray.from_arrays(pa.array(digest.reshape(-1)), m).cast(pa.list_(pa.int8()))], ["id", "n", "a", "b", "bands", "digest"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, bands array<long>, digest binary")
+    return docs.mapInArrow(run, "id long, n long, a long, b long, bands array<long>, digest array<byte>")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int, m: int) -> DataFrame:
@@ -131,7 +135,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int
             for i in range(0, b.num_rows, 20_000):
                 s = b.slice(i, 20_000)
                 if s.num_rows:
-                    du, dv = (np.frombuffer(b"".join(s.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in (2, 3))
+                    du, dv = (s.column(c).flatten().to_numpy().reshape(-1, m) for c in (2, 3))
                     same = (du == dv).mean(1)
                     keep = same >= least
                     yield pa.record_batch([s.column(0).filter(pa.array(keep)), s.column(1).filter(pa.array(keep)), pa.array(same[keep])], ["u", "v", "same"])
@@ -170,7 +174,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             hit = in_bloom(shared.value, bands.flatten().to_numpy().view(U)) if b.num_rows else np.zeros(0, bool)
             yield b.filter(pa.array(hit.reshape(b.num_rows, -1).any(1)) if b.num_rows else pa.array([], pa.bool_()))
 
-    return nodes.mapInArrow(run, "n long, a long, b long, id long, bands array<long>, digest binary")
+    return nodes.mapInArrow(run, "n long, a long, b long, id long, bands array<long>, digest array<byte>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -197,9 +201,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     nothing, its component is null and it is kept. Rows of one id are one node with the sets of all.
     Other columns are ignored; an empty table gives none. Sets are of 64-bit hashes. With the default
     bands a link at exactly the threshold is missed with a chance of 3e-7 (32 bands of 6 at 0.85: 3e-7),
-    above it less; the prefilter on whole signatures keeps six standard deviations."""
+    above it less; the prefilter on whole signatures keeps four and a half standard deviations (3e-6)."""
     m, need = bands * rows, num / den
-    least = need - 6 * (need * (1 - need) / m) ** 0.5
+    least = need - 4.5 * (need * (1 - need) / m) ** 0.5
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = stored(fingerprints(docs, k, table, bands, rows), "fingerprints")
     full = prints.where("n > 0 and id is not null")
@@ -212,6 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     some = some.join(alone, "id", "left").join(rows_of, "id").withColumn("free", F.col("n") - own).where(F.col("free") * den >= F.col("n") * num)
     some = stored(some.select("id", "n", "free", "digest", "bands"), "linkable")
     slim = some.select("id", "n", "free", "digest")
+    total = nodes.count()
     member: DataFrame | None = None
     links: DataFrame | None = None
     tested: DataFrame | None = None
@@ -243,27 +248,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             return rows.withColumn("c", F.col("id"))
         return rows.join(member, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("c"))
 
+    def open_(rows: DataFrame) -> DataFrame:
+        """Rows (key, band, id, n, free, c) of buckets with several components, without those that by their
+        sizes can be linked with nothing there."""
+        bounds = rows.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min("n").alias("nv"), F.max("free").alias("fv")).where("_lo <> _hi").select("key", "nv", "fv")
+        both = rows.withColumns({"nu": F.col("n"), "fu": F.col("free")}).join(bounds, "key")
+        return both.where(_possible(num, den)).select("key", "band", "id", "n", "free", "c")
+
     for start, count in ((1, FIRST), (FIRST + 1, bands - FIRST)):
-        rows = labelled(some.select("id", "n", "free", "bands")).select("id", "n", "free", "c", F.explode(F.slice("bands", start, count)).alias("key"))
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("centre")).where("lo <> hi").select("key", "centre")
-        live = stored(rows.join(mixed, "key").select("key", "id", "n", "free", "centre"), "buckets")
-        first = True
-        while not live.isEmpty():
-            test(live.where("id <> centre").select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v")).distinct(), first)
-            first = False
-            rest = stored(labelled(live.where("id <> centre").drop("centre")), "rest")
-            mixed = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("cs")).where("cs > 1")
-            mixed = stored(mixed, "mixed")
-            pairs = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0]
+        rows = labelled(some.select("id", "n", "free", "bands")).select("id", "n", "free", "c", F.posexplode(F.slice("bands", start, count)).alias("_at", "key")).withColumn("band", (F.col("_at") + start).cast("long"))
+        live, turn = stored(open_(rows), "buckets"), 0
+        while True:
+            # the centre has the fewest shingles of its own: it is the likeliest to be linked with the others
+            centres = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("free")).alias("own"), "id", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", F.col("m.id").alias("centre"), F.col("m.c").alias("cc"))
+            star = live.join(centres, "key").where("c <> cc").select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v"))
+            test(star.distinct(), turn == 0)
+            live = live.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "band", "id", "n", "free")
+            live = stored(open_(labelled(live)), "buckets")
+            sizes = live.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+            held, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()
             if not pairs:
                 break
-            rest = stored(rest.join(mixed.select("key"), "key", "left_semi"), "rest")
-            if pairs <= 4 * rest.count():  # linear: all of them
-                x = rest.select("key", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("free").alias("fu"))
-                y = rest.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("free").alias("fv"))
-                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _possible(num, den)).select("u", "v").distinct(), False)
+            turn += 1
+            if pairs <= 4 * held or (turn >= TURNS and pairs <= LINEAR * total * count):  # linear: all of them
+                own = live.join(some.select("id", "bands", "digest"), "id")
+                x = own.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("free").alias("fu"), F.col("bands").alias("bu"), F.col("digest").alias("du"))
+                y = own.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("free").alias("fv"), F.col("bands").alias("bv"), F.col("digest").alias("dv"))
+                new = F.array_position(F.zip_with("bu", "bv", lambda p, q: p == q), True) == F.col("band")  # in the first band that they share
+                alike = F.size(F.filter(F.zip_with("du", "dv", lambda p, q: p == q), lambda e: e)) >= least * m
+                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _possible(num, den) & new & alike).select("u", "v").distinct(), False)
                 break
-            live = stored(rest.join(rest.groupBy("key").agg(F.min("id").alias("centre")), "key").select("key", "id", "n", "free", "centre"), "buckets")
 
     same = nodes.select("n", "a", "b", F.col("id").alias("rep"))
     if member is not None:
