@@ -9,7 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions.binary import byte_length, entry_bytes
+from sedimenta.functions.binary import entry_bytes
 from sedimenta.model import ENTRY, MAX_FIELD, MUTATION, Bound, Config, included, unbounded, within
 from sedimenta.operators import view
 from sedimenta.operators.compaction import Leveled, Segment, Strategy, Task, compacted, may_drop_deletions
@@ -289,5 +289,3 @@ class Store:
     def describe(self) -> str:
         return json.dumps({"version": self.snapshot.version, "files": [to_json(s) for s in self.snapshot.segments.values()]})
 
-
-__all__ = ["Store", "byte_length"]

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from sedimenta.model import Config, excluded, included
+from sedimenta.sources import manifest
 from sedimenta.sources.manifest import Conflict, replayed
 from sedimenta.sources.records import record, sorted_file
 from sedimenta.store import Store
@@ -131,6 +132,17 @@ def test_manifest_removes_before_it_adds(spark):
     assert [(r.level, r.file_id) for r in replayed(acts).collect()] == [(1, 2)]
 
 
+def test_whole_snapshots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "EVERY", 3)
+    s = Store.create(spark, f"{tmp_path}/s")
+    for i in range(7):
+        s.append(kv(spark, (b"k%d" % i, b"1")))
+    assert [n for n in s.files.list("_log") if n.endswith(".whole")] == ["00000003.whole", "00000006.whole"]
+    for v in (2, 3, 5, 7):
+        assert len(rows(Store.open(spark, s.path, version=v).scan())) == v
+    assert vars(Store.open(spark, s.path).snapshot) == vars(s.snapshot)
+
+
 def test_stream_is_written_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = "key binary, value binary, tomb boolean, seq long"
