@@ -27,10 +27,8 @@ from sedimenta.llm.shared import bloom, components, in_bloom, stored
 U = np.uint64
 FIRST = 8
 """Bands that are taken before the others."""
-TURNS = 2
-"""Centres that a bucket has at least, while it has more pairs than rows."""
 LINEAR = 16
-"""Pairs for each node that are formed at once after that; beyond it buckets get further centres."""
+"""Pairs for each node and band that are looked at, once buckets have had a centre; beyond it they get further ones."""
 
 
 def shingles(col: pa.Array, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +134,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int
                 s = b.slice(i, 20_000)
                 if s.num_rows:
                     du, dv = (s.column(c).flatten().to_numpy().reshape(-1, m) for c in (2, 3))
-                    same = (du == dv).mean(1)
-                    keep = same >= least
-                    yield pa.record_batch([s.column(0).filter(pa.array(keep)), s.column(1).filter(pa.array(keep)), pa.array(same[keep])], ["u", "v", "same"])
+                    keep = pa.array((du == dv).mean(1) >= least)
+                    yield pa.record_batch([s.column(0).filter(keep), s.column(1).filter(keep)], ["u", "v"])
 
-    return stored(both.select("u", "v", "du", "dv").mapInArrow(run, "u long, v long, same double"), "likely")
+    return both.select("u", "v", "du", "dv").mapInArrow(run, "u long, v long")
 
 
 def _possible(num: int, den: int) -> Column:
@@ -185,14 +182,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return stored(both.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("u", "v").distinct(), "confirmed")
 
 
-def _between(pairs: DataFrame, member: DataFrame | None) -> DataFrame:
-    """Those of the pairs that lie in different components."""
-    if member is None:
-        return pairs
-    cu, cv = member.select(F.col("id").alias("u"), F.col("component").alias("cu")), member.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-    return pairs.join(cu, "u", "left").join(cv, "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select(*pairs.columns)
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 38, rows: int = 5, table: np.ndarray = textkit.ALNUM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of docs; documents are linked where
     den * |intersection| >= num * |union| of their k-word shingle sets.
@@ -218,29 +207,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     slim = some.select("id", "n", "free", "digest")
     total = nodes.count()
     member: DataFrame | None = None
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-
-    def test(pairs: DataFrame, first: bool) -> None:
-        """Confirms the likely pairs, as far as they still join different components."""
-        nonlocal member, links, tested
-        likely = _likely(pairs, slim, least, num, den, m)
-        if tested is not None:
-            likely = likely.join(tested, ["u", "v"], "left_anti")
-        for best in (True, False) if first else (False,):
-            some = _between(likely, member)
-            if best:  # first the likeliest centre of each node: most need no other
-                some = some.groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u")).select("u", "v")
-            elif first and tested is not None:
-                some = some.join(tested, ["u", "v"], "left_anti")
-            some = stored(some.select("u", "v").distinct(), "pairs")
-            if some.isEmpty():
-                continue
-            good = _confirm(some, sets, num, den)
-            tested = some if tested is None else tested.union(some)
-            links = good if links is None else links.union(good)
-            if not good.isEmpty():
-                member = components(links)
+
+    def test(pairs: DataFrame) -> None:
+        """Confirms pairs and joins the components of those that hold."""
+        nonlocal member
+        good = _confirm(stored(pairs, "pairs"), sets, num, den)
+        if good.isEmpty():
+            return
+        if member is None:
+            member = components(good)
+            return
+        ends = labelled(good.withColumnRenamed("u", "id")).select("v", F.col("c").alias("cu")).withColumnRenamed("v", "id")
+        merged = components(labelled(ends).select("cu", "c"))
+        fresh = good.select(F.col("u").alias("id")).union(good.select("v")).distinct()
+        whole = fresh.join(member, "id", "full").select("id", F.coalesce("component", "id").alias("component"))
+        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("_into"))
+        member = stored(whole.join(merged, "component", "left").select("id", F.coalesce("_into", "component").alias("component")), "members")
 
     def labelled(rows: DataFrame) -> DataFrame:
         """rows with c, the component of id."""
@@ -259,25 +241,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         rows = labelled(some.select("id", "n", "free", "bands")).select("id", "n", "free", "c", F.posexplode(F.slice("bands", start, count)).alias("_at", "key")).withColumn("band", (F.col("_at") + start).cast("long"))
         live, turn = stored(open_(rows), "buckets"), 0
         while True:
-            # the centre has the fewest shingles of its own: it is the likeliest to be linked with the others
-            centres = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("free")).alias("own"), "id", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", F.col("m.id").alias("centre"), F.col("m.c").alias("cc"))
-            star = live.join(centres, "key").where("c <> cc").select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v"))
-            test(star.distinct(), turn == 0)
-            live = live.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "band", "id", "n", "free")
-            live = stored(open_(labelled(live)), "buckets")
             sizes = live.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-            held, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()
+            pairs = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()[0]
             if not pairs:
                 break
-            turn += 1
-            if pairs <= 4 * held or (turn >= TURNS and pairs <= LINEAR * total * count):  # linear: all of them
+            if (turn or start > 1) and pairs <= LINEAR * total * count:  # linear: all of them
                 own = live.join(some.select("id", "bands", "digest"), "id")
                 x = own.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("free").alias("fu"), F.col("bands").alias("bu"), F.col("digest").alias("du"))
                 y = own.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("free").alias("fv"), F.col("bands").alias("bv"), F.col("digest").alias("dv"))
                 new = F.array_position(F.zip_with("bu", "bv", lambda p, q: p == q), True) == F.col("band")  # in the first band that they share
                 alike = F.size(F.filter(F.zip_with("du", "dv", lambda p, q: p == q), lambda e: e)) >= least * m
-                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _possible(num, den) & new & alike).select("u", "v").distinct(), False)
+                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _possible(num, den) & new & alike).select("u", "v"))
                 break
+            # the centre has the fewest shingles of its own: it is the likeliest to be linked with the others
+            centres = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("free")).alias("own"), "id", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", F.col("m.id").alias("centre"), F.col("m.c").alias("cc"))
+            star = live.join(centres, "key").where("c <> cc").select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v"))
+            test(_likely(star.distinct(), slim, least, num, den, m))
+            live = live.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "band", "id", "n", "free")
+            live, turn = stored(open_(labelled(live)), "buckets"), turn + 1
 
     same = nodes.select("n", "a", "b", F.col("id").alias("rep"))
     if member is not None:

@@ -125,18 +125,15 @@ def components(links: DataFrame) -> DataFrame:
     member: DataFrame | None = None
     while True:
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        near = stored(near, "parents")
-        jump = near.alias("a").join(near.alias("b"), F.col("a.p") == F.col("b.u"), "left").select(F.col("a.u").alias("u"), F.coalesce("b.p", "a.p").alias("p"))
-        jump = stored(jump, "jumps")
+        jump = stored(near.alias("a").join(near.alias("b"), F.col("a.p") == F.col("b.u"), "left").select(F.col("a.u").alias("u"), F.coalesce("b.p", "a.p").alias("p")), "jumps")
         if member is None:
             member = jump.select(F.col("u").alias("id"), F.col("p").alias("component"))
         else:
             member = member.join(jump, member.component == jump.u, "left").select("id", F.coalesce("p", "component").alias("component"))
-        member = stored(member, "members")
         a, b = jump.select("u", F.col("p").alias("pu")), jump.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         edges = stored(edges.join(a, "u").join(b, "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "links")
         if edges.isEmpty():
-            return member
+            return stored(member, "members")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
