@@ -174,6 +174,45 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "n long, a long, b long, id long, bands array<long>, digest array<byte>")
 
 
+def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, ref, size, lacks, more, mask): how a set differs from a reference of `size` shingles: how many
+    of them it lacks, which (in 256 bits), and how many it has more."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                b = batch.slice(lo, 500)
+                rows = []
+                for sx, sz in zip(b.column(2), b.column(3), strict=True):
+                    x, z = (v.values.to_numpy().view(U) for v in (sx, sz))
+                    gone = z[~np.isin(z, x)]
+                    mask = np.zeros(4, U)
+                    np.bitwise_or.at(mask, ((gone >> U(6)) & U(3)).astype(np.int64), U(1) << (gone & U(63)))
+                    rows.append((len(z), len(gone), len(x) - len(z) + len(gone), mask.view(np.int64).tolist()))
+                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+                yield pa.record_batch([b.column(0), b.column(1), *cols, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["id", "ref", "size", "lacks", "more", "mask"])
+
+    x, z = sets.select("id", F.col("set").alias("sx")), sets.select(F.col("id").alias("ref"), F.col("set").alias("sz"))
+    both = pairs.join(x, "id").join(z, "ref").select("id", "ref", "sx", "sz")
+    return stored(both.mapInArrow(run, "id long, ref long, size long, lacks long, more long, mask array<long>"), "against")
+
+
+def _side(rows: DataFrame, t: str) -> DataFrame:
+    extra = F.greatest(F.col("more") - (F.col("n") - F.col("free")), F.lit(0))  # beyond the reference, and not its own
+    names = [F.col(c).alias(f"{c}_{t}") for c in ("c", "bands", "digest", "lacks", "mask")]
+    return rows.select("key", *(["band", "size"] if t == "u" else []), F.col("id").alias(t), F.col("n").alias("n" + t), F.col("free").alias("f" + t), *names, extra.alias(f"extra_{t}"))
+
+
+def _overlapping(num: int, den: int) -> Column:
+    """Whether two sets that lack known parts of one reference can still overlap enough: what either
+    lacks isn't shared, and what both have beyond it is at most what the one with less has."""
+    bits = lambda c: sum((F.bit_count(c(i)) for i in range(2, 5)), F.bit_count(c(1))).cast("long")
+    at = lambda t: lambda i: F.element_at(f"mask_{t}", i)
+    both = bits(lambda i: at("u")(i).bitwiseAND(at("v")(i))) + F.col("lacks_u") - bits(at("u"))
+    most = F.col("size") - (F.col("lacks_u") + F.col("lacks_v") - F.least("lacks_u", "lacks_v", both)) + F.least("extra_u", "extra_v")
+    return most * den >= (F.col("nu") + F.col("nv") - most) * num
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that hold on full sets."""
     x, y = sets.select(F.col("id").alias("u"), F.col("set").alias("su")), sets.select(F.col("id").alias("v"), F.col("set").alias("sv"))
@@ -246,12 +285,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             if not pairs:
                 break
             if (turn or start > 1) and pairs <= LINEAR * total * count:  # linear: all of them
-                own = live.join(some.select("id", "bands", "digest"), "id")
-                x = own.select("key", "band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("free").alias("fu"), F.col("bands").alias("bu"), F.col("digest").alias("du"))
-                y = own.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("free").alias("fv"), F.col("bands").alias("bv"), F.col("digest").alias("dv"))
-                new = F.array_position(F.zip_with("bu", "bv", lambda p, q: p == q), True) == F.col("band")  # in the first band that they share
-                alike = F.size(F.filter(F.zip_with("du", "dv", lambda p, q: p == q), lambda e: e)) >= least * m
-                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _possible(num, den) & new & alike).select("u", "v"))
+                refs = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("free")).alias("own"), "id")).alias("m")).select("key", F.col("m.id").alias("ref"))
+                seen = live.join(refs, "key")
+                seen = seen.join(_against(seen.select("id", "ref").distinct(), sets), ["id", "ref"]).join(some.select("id", "bands", "digest"), "id")
+                x, y = _side(seen, "u"), _side(seen, "v")
+                new = F.array_position(F.zip_with("bands_u", "bands_v", lambda p, q: p == q), True) == F.col("band")  # in the first band that they share
+                alike = F.size(F.filter(F.zip_with("digest_u", "digest_v", lambda p, q: p == q), lambda e: e)) >= least * m
+                test(x.join(y, (x.key == y.key) & (F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & _possible(num, den) & _overlapping(num, den) & new & alike).select("u", "v"))
                 break
             # the centre has the fewest shingles of its own: it is the likeliest to be linked with the others
             centres = live.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("free")).alias("own"), "id", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", F.col("m.id").alias("centre"), F.col("m.c").alias("cc"))
