@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import decontam, langid, neardup, packing, passages
 from sedimenta.llm.shared import documents, stored
 
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.1
 """Language scores below it are no language that was learned."""
 
 
