@@ -192,6 +192,34 @@ def test_passages(spark):
     assert passages.repeated_passages(documents(spark, [])).count() == 0
 
 
+def own_words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def uncovered(rows, found, least=50):
+    """(document, word) of the runs of `least` words that an earlier document has too and no passage covers."""
+    w = {i: split(t) for i, t in rows}
+    seen, missed = set(), set()
+    for i in sorted(w):
+        grams = [tuple(w[i][p : p + least]) for p in range(len(w[i]) - least + 1)]
+        held = {x for r in found if r.doc_id == i for x in range(r.start, r.end)}
+        missed |= {(i, x) for p, g in enumerate(grams) if g in seen for x in range(p, p + least)} - {(i, x) for x in held}
+        seen |= set(grams)
+    return missed
+
+
+def test_two_passages_of_a_pair(spark):
+    rng, rows = random.Random(12), []
+    for n, (size, gap) in enumerate([(60, 40), (60, 80), (60, 100), (60, 150), (100, 80), (100, 300), (200, 150), (200, 300)]):
+        one, two = own_words(rng, size), own_words(rng, size)
+        for side in range(2):
+            rows.append((10 * n + side, " ".join([*own_words(rng, 30), *one, *own_words(rng, gap), *two, *own_words(rng, 30)])))
+        rows.append((10 * n + 2, " ".join([*own_words(rng, 9), *one, *own_words(rng, gap // 2), *two])))
+    found = passages.repeated_passages(documents(spark, rows)).collect()
+    assert not uncovered(rows, found)
+    assert all(r.end - r.start >= 50 and r.errors <= 0.2 * (r.end - r.start) for r in found)
+
+
 def test_images(spark):
     rows = []
     for seed in range(12):
