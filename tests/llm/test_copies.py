@@ -220,6 +220,23 @@ def test_two_passages_of_a_pair(spark):
     assert all(r.end - r.start >= 50 and r.errors <= 0.2 * (r.end - r.start) for r in found)
 
 
+def test_passage_in_parts(spark):
+    """The parts of a passage occur one by one in different earlier documents, the whole of it only later."""
+    rng, rows = random.Random(13), []
+    text = lambda *parts: " ".join(w for x in parts for w in [*own_words(rng, 40), *x, *own_words(rng, 40)])
+    for n in range(12):
+        whole, cut = own_words(rng, 50 + n * 5), (25, 30, 20)[n % 3]
+        rows += [(100 * n + i, text(whole[c : c + cut])) for i, c in enumerate(range(0, len(whole), cut))]
+        rows += [(100 * n + 50 + i, text(whole)) for i in range(3)]
+    rows += [(5000, text(rows[-1][1].split(" ")[30:130])), (5001, "to be or " * 70), (5002, "so " + "to be or " * 90)]
+    found = passages.repeated_passages(documents(spark, rows)).collect()
+    assert not uncovered(rows, found)
+    own = dict(rows)
+    for r in found:
+        assert r.errors <= 0.2 * (r.end - r.start) and r.ref_id < r.doc_id
+        assert r.errors or split(own[r.doc_id])[r.start : r.end] == split(own[r.ref_id])[r.ref_start : r.ref_end]
+
+
 def test_images(spark):
     rows = []
     for seed in range(12):
