@@ -237,6 +237,24 @@ def test_passage_in_parts(spark):
         assert r.errors or split(own[r.doc_id])[r.start : r.end] == split(own[r.ref_id])[r.ref_start : r.ref_end]
 
 
+def test_passage_twice_in_a_document(spark):
+    """Copies with an edit every 16 words: the second in a document, and one behind stray uses of its words."""
+    rng, rows = random.Random(14), []
+    for n in range(10):
+        one = own_words(rng, 90)
+        edited = [["edit", *one[i + 1 : i + 16]] for i in range(0, 90, 16)]
+        copy = [w for x in edited for w in x]
+        stray = [w for x in edited for w in [*x, *own_words(rng, 3)]]
+        rows.append((10 * n, " ".join([*own_words(rng, 50), *one, *own_words(rng, 50)])))
+        rows.append((10 * n + 1, " ".join([*one[:60], *own_words(rng, 200), *copy, *own_words(rng, 200), *copy])))
+        rows.append((10 * n + 2, " ".join([*stray[:19], *own_words(rng, 300), *copy])))
+    found = passages.repeated_passages(documents(spark, rows)).collect()
+    for n in range(10):
+        for doc, start in ((1, 260), (1, 550), (2, 319)):
+            held = {x for r in found if r.doc_id == 10 * n + doc for x in range(r.start, r.end)}
+            assert len(held & set(range(start, start + 90))) >= 85
+
+
 def test_images(spark):
     rows = []
     for seed in range(12):
