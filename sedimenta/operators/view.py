@@ -52,11 +52,15 @@ def multi_get(log: DataFrame, keys: DataFrame, recency: list[str] | None = None)
     return asked.join(found, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def prefix_bounds(prefix: bytes) -> tuple[Bound, Bound]:
+    """The range of the keys that start with these bytes."""
+    head = prefix.rstrip(b"\xff")
+    return included(prefix) if prefix else unbounded, excluded(head[:-1] + bytes([head[-1] + 1])) if head else unbounded
+
+
 def prefix_scan(log: DataFrame, prefix: bytes, recency: list[str] | None = None) -> DataFrame:
     """Live entries whose key starts with these bytes."""
-    head = prefix.rstrip(b"\xff")
-    hi = excluded(head[:-1] + bytes([head[-1] + 1])) if head else unbounded
-    return scan(log, included(prefix) if prefix else unbounded, hi, recency)
+    return scan(log, *prefix_bounds(prefix), recency)
 
 
 def merged(sources: list[DataFrame], keep_deleted: bool = False) -> DataFrame:

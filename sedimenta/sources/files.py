@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+class Appender:
+    """An open file of the driver."""
+
+    def __init__(self, stream):
+        self._stream = stream
+
+    def write(self, content: bytes) -> None:
+        self._stream.write(bytearray(content))
+        self._stream.hsync()
+
+    def close(self) -> None:
+        self._stream.close()
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -48,6 +62,13 @@ class Files:
             return False
         return True
 
+    def appender(self, name: str) -> Appender | None:
+        """A new file that grows batch by batch, each one durable where the file system can sync; None if the name is taken."""
+        raw = self.fs.getRawFileSystem() if self.fs.getScheme() == "file" else self.fs  # checksummed local files can't be synced
+        if self.exists(name):
+            return None
+        return Appender(raw.create(self.path(name), False))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.binary import entry_bytes
 from sedimenta.model import ENTRY, MAX_FIELD, MUTATION, Bound, Config, included, unbounded, within
 from sedimenta.operators import view
-from sedimenta.operators.compaction import Leveled, Segment, Strategy, Task, compacted, may_drop_deletions
+from sedimenta.operators.compaction import Leveled, Segment, Strategy, Task, compacted, may_drop_deletions, moves
 from sedimenta.sources.files import Files
 from sedimenta.sources.manifest import Conflict, Manifest, Snapshot, to_json
 from sedimenta.sources.records import DELETE, PUT, read_logs, read_sorted_files, record, records
@@ -20,11 +21,37 @@ from sedimenta.sources.records import DELETE, PUT, read_logs, read_sorted_files,
 RECENCY = ["commit", "ord"]
 
 
+class _Flight:
+    """A compaction that runs in a thread of its own; the store applies its result."""
+
+    def __init__(self, task: Task, work):
+        self.task, self._made, self._error = task, None, None
+
+        def run():
+            try:
+                self._made = work()
+            except Exception as e:  # raised again by whoever polls
+                self._error = e
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+
+    def ended(self, wait: bool) -> bool:
+        if wait:
+            self._thread.join()
+        return not self._thread.is_alive()
+
+    def result(self) -> list[Segment]:
+        if self._error:
+            raise self._error
+        return self._made
+
+
 class Store:
     """Single writer, many readers: a reader sees the snapshot that it opened.
 
-    put and delete go to a log file and a buffer that is frozen at memtable_size_limit; append writes a
-    DataFrame of any size as segments in one commit. Reads take the newest version by (commit, ord)."""
+    put and delete go to the end of a log file and to a buffer that is frozen at memtable_size_limit; append
+    writes a DataFrame of any size as segments in one commit. Reads take the newest version by (commit, ord)."""
 
     def __init__(self, spark: SparkSession, path: str, snapshot: Snapshot, strategy: Strategy | None = None):
         self.spark, self.path = spark, path.rstrip("/")
@@ -34,6 +61,8 @@ class Store:
         self.strategy = strategy or Leveled()
         self._buffer: dict[bytes, tuple[bytes | None, int]] = {}
         self._size = self._ord = self._log_file = 0
+        self._log = None  # the open log file
+        self._flight: _Flight | None = None
         self._closed = False
 
     # ---- lifecycle ----
@@ -94,9 +123,17 @@ class Store:
         self._log_file = max(self._log_file, self.snapshot.flushed_log + 1)
 
     def close(self) -> None:
-        """The buffer stays in its log; nothing runs in the background."""
+        """Waits for the compaction in flight and applies it; the buffer stays in its log."""
+        self.poll_compaction(wait=True)
+        self._roll_log()
         self._closed = True
 
+    def _roll_log(self) -> None:
+        if self._log:
+            self._log.close()
+            self._log = None
+            self._log_file += 1
+
     def __enter__(self) -> Store:
         return self
 
@@ -119,28 +156,34 @@ class Store:
         self.write([(key, None)])
 
     def write(self, batch: list[tuple[bytes, bytes | None]]) -> None:
-        """Puts and deletions (value None) in order, as one log file: all or a sound head survive a crash."""
+        """Puts and deletions (value None) in order, at the end of the open log file: all or a sound head survive
+        a crash. A full buffer is frozen, and a compaction starts in the background unless one is in flight."""
         if self._closed:
             raise RuntimeError("the store is closed")
         if any(max(len(k), len(v or b"")) > MAX_FIELD for k, v in batch):
             raise ValueError(f"keys and values have at most {MAX_FIELD} bytes here; append takes longer ones")
-        raw = b"".join(record(PUT if v else DELETE, k, v or b"") for k, v in batch)
-        if not self.files.create(f"wal/{self._log_file:08d}.wal", raw):
-            raise Conflict("another writer has this log file")
-        self._log_file += 1
+        if self._log is None:
+            self.files.mkdirs("wal")
+            self._log = self.files.appender(f"wal/{self._log_file:08d}.wal")
+            if self._log is None:
+                raise Conflict("another writer has this log file")
+        self._log.write(b"".join(record(PUT if v else DELETE, k, v or b"") for k, v in batch))
         for k, v in batch:
             self._note(k, v)
         if self._size >= self.config.memtable_size_limit:
             self.freeze()
-            self.compact()
+            self.poll_compaction()
+            self.schedule_compaction()
 
     def freeze(self) -> None:
         """The buffer becomes a segment of the first level, in one commit; its log goes after it."""
+        self._roll_log()
         if not self._buffer:
             return
         commit = self.snapshot.next_commit
         rows = [(bytearray(k), None if v is None else bytearray(v), v is None, commit, o) for k, (v, o) in self._buffer.items()]
-        self._write(self.spark.createDataFrame(rows, MUTATION).coalesce(1), 0, {"next_commit": commit + 1, "flushed_log": self._log_file - 1}, parts=1)
+        made = self._data(self.spark.createDataFrame(rows, MUTATION).coalesce(1).sortWithinPartitions("key"), 0, len(rows))
+        self._commit(made, {"next_commit": commit + 1, "flushed_log": self._log_file - 1})
         self._buffer.clear()
         self._size = self._ord = 0
         for name in self.files.list("wal"):
@@ -163,22 +206,32 @@ class Store:
         tomb = F.col("tomb") if "tomb" in df.columns else F.lit(False)
         rank = F.col(order_by) if order_by else F.lit(0)
         rows = view.normalised(df.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), tomb.alias("tomb"), rank.alias("_rank")))
-        won = view.latest(rows, ["_rank"]).select("key", "value", "tomb", F.lit(commit).cast("long").alias("commit"), F.lit(0).cast("long").alias("ord"))
-        self._write(won, 0, {"next_commit": commit + 1} | ({"sources": {source[0]: source[1]}} if source else {}))
+        stamp = [F.lit(commit).cast("long").alias("commit"), F.lit(0).cast("long").alias("ord")]
+        if order_by:  # combined before the exchange: a hot key is a row for each task
+            won = view.latest(rows, ["_rank"]).select("key", "value", "tomb", *stamp).repartitionByRange("key").sortWithinPartitions("key")
+        else:  # a key once, as a rule: one exchange and one sort
+            won = compacted(rows.select("key", "value", "tomb", *stamp), False)
+        self._commit(self._data(won, 0), {"next_commit": commit + 1} | ({"sources": {source[0]: source[1]}} if source else {}))
         return True
 
-    def _write(self, rows: DataFrame, level: int, edit: dict, parts: int | None = None, remove: tuple[int, ...] = ()) -> None:
-        """Rows as sorted, range-partitioned Parquet with key Blooms, and the commit that makes them live."""
+    def _data(self, rows: DataFrame, level: int, keys: int | None = None) -> list[Segment]:
+        """Rows, which are in key ranges and in key order, as Parquet with key Blooms: the files' statistics, not live yet.
+        keys: how many a file will have at most, which sizes its Bloom; unknown, the writer tries several."""
         name = f"data/L{level}-{self.snapshot.next_file:08d}-{uuid.uuid4().hex[:12]}"  # a writer that loses leaves it to vacuum
-        out = rows if parts == 1 else rows.repartitionByRange(parts, "key") if parts else rows.repartitionByRange("key")
-        writer = out.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true")
+        writer = rows.write.option("parquet.bloom.filter.enabled#key", "true")
+        writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(keys, 1))) if keys is not None else writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{name}")
         made = self.spark.read.schema(MUTATION).parquet(f"{self.path}/{name}").withColumn("file", F.col("_metadata.file_path"))
-        stats = made.groupBy("file").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("bytes"), F.min("commit").alias("lo"), F.max("commit").alias("hi"))
-        add = []
-        for i, r in enumerate(sorted(stats.collect(), key=lambda r: bytes(r.a))):  # a row for each file
-            add.append(to_json(Segment(level, self.snapshot.next_file + i, bytes(r.a), bytes(r.z), r.n, r.bytes, r.lo, r.hi, f"{name}/{r.file.rpartition('/')[2]}")))
-        self.manifest.commit(self.snapshot, edit | {"add": add, "remove": list(remove), "next_file": self.snapshot.next_file + max(len(add), 1)})
+        size = F.sum(entry_bytes(F.col("key"), F.col("value")))
+        stats = made.groupBy("file").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"), size.alias("bytes"), F.min("commit").alias("lo"), F.max("commit").alias("hi"), F.count_if("tomb").alias("gone"))
+        found = sorted(stats.collect(), key=lambda r: bytes(r.a))  # a row for each file
+        return [Segment(level, -1, bytes(r.a), bytes(r.z), r.n, r.bytes, r.lo, r.hi, f"{name}/{r.file.rpartition('/')[2]}", r.gone) for r in found]
+
+    def _commit(self, made: list[Segment], edit: dict, remove: tuple[int, ...] = ()) -> None:
+        """Makes files live, under new ids, and takes others out."""
+        first = self.snapshot.next_file
+        add = [to_json(replace(s, file_id=first + i)) for i, s in enumerate(made)]
+        self.manifest.commit(self.snapshot, edit | {"add": add, "remove": list(remove), "next_file": first + max(len(add), 1)})
 
     # ---- reads ----
 
@@ -230,10 +283,14 @@ class Store:
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """(key, value, found) of a DataFrame of keys, in one pass over the files of their range."""
-        return view.multi_get(self.changes(), keys, RECENCY)
+        ends = keys.agg(F.min("key").alias("a"), F.max("key").alias("z")).first()
+        lo, hi = (unbounded, unbounded) if ends.a is None else (included(bytes(ends.a)), included(bytes(ends.z)))
+        return view.multi_get(self.changes(lo, hi), keys, RECENCY)
 
     def prefix(self, prefix: bytes) -> DataFrame:
-        return view.prefix_scan(self.changes(), prefix, RECENCY)
+        """Live entries whose key starts with these bytes, from the files of their range."""
+        lo, hi = view.prefix_bounds(prefix)
+        return view.prefix_scan(self.changes(lo, hi), prefix, RECENCY)
 
     def snapshot_entries(self) -> DataFrame:
         """All live entries, in no order."""
@@ -243,20 +300,46 @@ class Store:
 
     def compact(self, most: int | None = None) -> int:
         """Runs what the strategy asks for until it is content; the number of compactions."""
-        n = 0
-        while (most is None or n < most) and (task := self.strategy.pick(list(self.snapshot.segments.values()), self.config)):
+        n = int(self.poll_compaction(wait=True))
+        while (most is None or n < most) and (task := self._pick()):
             self.run(task)
             n += 1
         return n
 
+    def _pick(self) -> Task | None:
+        return self.strategy.pick(list(self.snapshot.segments.values()), self.config)
+
     def run(self, task: Task) -> None:
+        """One compaction: a move in the manifest where no rewrite is needed, else one Spark job."""
+        self._commit(self._output(task), {}, tuple(s.file_id for s in task.inputs))
+
+    def _output(self, task: Task) -> list[Segment]:
         drop = may_drop_deletions(task, list(self.snapshot.segments.values()))
-        rows = compacted(self._files(list(task.inputs)), drop)
+        if moves(task, drop):
+            return [replace(task.inputs[0], level=task.level)]
         parts = max(1, -(-sum(s.data_len for s in task.inputs) // self.config.target_file_bytes))
-        self._write(rows, task.level, {}, parts, tuple(s.file_id for s in task.inputs))
+        keys = -(-sum(s.num_entries for s in task.inputs) // parts)
+        return self._data(compacted(self._files(list(task.inputs)), drop, parts), task.level, keys)
+
+    def schedule_compaction(self) -> bool:
+        """Starts what the strategy asks for in the background; False if one is in flight or none is due.
+        Files that are flushed meanwhile are newer than its inputs, so it stays right."""
+        if self._flight or not (task := self._pick()):
+            return False
+        self._flight = _Flight(task, lambda: self._output(task))
+        return True
+
+    def poll_compaction(self, wait: bool = False) -> bool:
+        """Applies the compaction in flight if it has ended (wait: once it has); an error in it is raised here."""
+        if not self._flight or not self._flight.ended(wait):
+            return False
+        flight, self._flight = self._flight, None
+        self._commit(flight.result(), {}, tuple(s.file_id for s in flight.task.inputs))
+        return True
 
     def vacuum(self, retain: int = 1) -> int:
         """Deletes data folders that none of the newest `retain` snapshots and no later one uses."""
+        self.poll_compaction(wait=True)
         versions = self.manifest.versions()
         used = {s.path.split("/")[1] for v in versions[-max(retain, 1) :] for s in self.manifest.replay(v).segments.values()}
         gone = [n for n in self.files.list("data") if n not in used]
