@@ -48,6 +48,12 @@ def log_record(op: Column, key: Column, value: Column) -> Column:
     return F.concat(body, little_endian(F.crc32(body), 4))
 
 
+def sorted_entry(key: Column, value: Column) -> Column:
+    """An entry of a sorted file as bytes; no value is a deletion."""
+    key, value = key.cast("binary"), F.coalesce(value.cast("binary"), F.lit(b""))
+    return F.concat(little_endian(F.octet_length(key), 2), key, little_endian(F.octet_length(value), 2), value)
+
+
 def file_name(file_id: Column, suffix: str) -> Column:
     """Eight digits at least, and the suffix."""
     return F.concat(F.format_string("%08d", file_id), F.lit(suffix))

@@ -27,6 +27,12 @@ def segment_entries(log: DataFrame, by: str = "seg") -> DataFrame:
     return won.select(by, "key", "v.value", "v.tomb")
 
 
+def segment_log(log: DataFrame, by: str = "seg") -> DataFrame:
+    """The log without the versions that a newer one of the same part hides."""
+    won = log.groupBy(by, "key").agg(F.max_by(F.struct("value", "tomb", "seq"), "seq").alias("v"))
+    return won.select(by, "key", "v.value", "v.tomb", "v.seq")
+
+
 def footer_stats(entries: DataFrame, by: str = "seg") -> DataFrame:
     """(by, first_key, last_key, num_entries, data_len, size_hint) of sorted files."""
     size = F.sum(entry_bytes(F.col("key"), F.col("value")))
@@ -53,6 +59,15 @@ def index_seek(index: DataFrame, key: bytes | str, by: str = "seg") -> DataFrame
     return index.groupBy(by).agg(F.coalesce(hit, F.lit(0)).cast("long").alias("offset"))
 
 
+def index_seek_all(index: DataFrame, probes: DataFrame, by: str = "seg") -> DataFrame:
+    """probes (by, key) with the offset from which to read for each: of the last indexed key up to it, 0 if there
+    is none. An as-of join in one exchange: index rows and probes of a file are put in key order and each
+    probe takes the last offset before it."""
+    rows = index.select(by, "key", "offset", F.lit(0).alias("_side")).unionByName(probes.select(by, "key", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("_side")))
+    order = Window.partitionBy(by).orderBy("key", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("offset", F.coalesce(F.last("offset", ignorenulls=True).over(order), F.lit(0))).where("_side = 1").select(by, "key", "offset")
+
+
 def overlap_pairs(footers: DataFrame, by: str = "seg") -> DataFrame:
     """Pairs of files whose key ranges meet. Files sorted by first key meet those that begin before they
     end: a range join over file statistics, whose rows are files and not data."""

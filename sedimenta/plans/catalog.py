@@ -5,6 +5,7 @@ the event id as recency; 500 events make a segment."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -18,9 +19,9 @@ from sedimenta.operators import stats as S
 from sedimenta.operators import view as V
 from sedimenta.session import scratch_dir
 from sedimenta.sources.manifest import replayed
-from sedimenta.sources.records import read_logs
+from sedimenta.sources.records import read_logs, read_sorted_files, sorted_file, write_files
 from sedimenta.store import Store
-from sedimenta.streaming.ingest import ingest
+from sedimenta.streaming.ingest import ingest, latest_values
 
 LO, HI, SEEK, PREFIX = "user:0010", "user:0020", "user:0042", "user:001"
 LEVELS = Config(base_level_bytes=20_000)
@@ -113,12 +114,12 @@ _get("hit", "user:0001")
 _get("deleted", "user:0005")
 _get("missing", "user:x")
 
-_ASKED = "SELECT DISTINCT 'user:' || lpad(CAST(o_custkey AS VARCHAR), 4, '0') AS key FROM orders WHERE o_custkey < 2000"
+_ASKED = "SELECT DISTINCT 'user:' || lpad(CAST(o_custkey AS VARCHAR), 4, '0') AS key FROM orders"
 
 
 @query(f"WITH {LATEST}, asked AS ({_ASKED}) SELECT a.key, v.value, v.key IS NOT NULL AS found FROM asked a LEFT JOIN alive v ON a.key = v.key")
 def kv_multi_get(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 2000")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     keys = orders.select(F.concat(F.lit("user:"), F.lpad(F.col("o_custkey").cast("string"), 4, "0")).alias("key"))
     return V.multi_get(change_log(spark, sf_dir), keys)
 
@@ -134,10 +135,13 @@ def kv_tombstones(spark, sf_dir):
     return V.tombstones(change_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG}, part AS (SELECT * FROM log WHERE seg < 3), last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seg DESC, seq DESC) AS r FROM part) SELECT key, value FROM last WHERE r = 1 AND NOT tomb")
+@query(f"WITH {LATEST} SELECT key, value FROM alive")
 def merge_newest_wins(spark, sf_dir):
-    run = entries(spark, sf_dir)
-    return V.merged([run.where(F.col("seg") == i).select("key", F.coalesce("value", F.lit("")).alias("value")) for i in range(3)])
+    """Four runs of the whole log, each a sorted source of its newest versions."""
+    log = change_log(spark, sf_dir)
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    rows = S.segment_entries(log.withColumn("run", F.expr(f"cast(seq * 4 div {top} as int)")), "run")
+    return V.merged([rows.where(F.col("run") == i).select("key", F.coalesce("value", F.lit("")).alias("value")) for i in range(4)])
 
 
 @query(f"WITH {LATEST} SELECT key, value, tomb, seq FROM newest")
@@ -164,35 +168,53 @@ def wal_record_bytes(spark, sf_dir):
     return change_log(spark, sf_dir).groupBy("seg").agg(F.sum(B.log_record_bytes(F.col("key"), value)).alias("bytes"))
 
 
-@query()
+_CRC = f"""WITH {LOG}, tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+  body AS (SELECT seq, CASE WHEN tomb THEN '00' ELSE '01' END || le(strlen(key), 2) || hex(encode(key)) || CASE WHEN tomb THEN '0000' ELSE le(strlen(value), 2) || hex(encode(value)) END AS h FROM log),
+  sums AS (SELECT seq, h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM body, tab)
+  SELECT seq, h || le(crc, 4) AS record, crc AS crc32 FROM sums"""
+for _width in ("2", "4"):  # little-endian hexadecimal, written out: the driver runs one statement
+    _CRC = re.sub(rf"le\(((?:strlen\(\w+\))|crc), {_width}\)", lambda m, n=int(_width): "(" + " || ".join(f"printf('%02X', ({m[1]} >> {8 * i}) & 255)" for i in range(n)) + ")", _CRC)
+
+
+@query(_CRC)
 def wal_crc32(spark, sf_dir):
     log = change_log(spark, sf_dir)
     record = B.log_record((~F.col("tomb")).cast("int"), F.col("key"), F.when(~F.col("tomb"), F.col("value")))
-    return log.select("seq", F.hex(record).alias("record"), B.checksum(record).alias("crc32"))
+    body = F.substring(record, F.lit(1), F.octet_length(record) - 4)
+    return log.select("seq", F.hex(record).alias("record"), B.checksum(body).alias("crc32"))
 
 
-@query(f"WITH {LOG} SELECT seq, key, CASE WHEN tomb THEN NULL ELSE value END AS value, tomb FROM log WHERE seg < 2")
-def wal_replay(spark, sf_dir):
-    """Records written by column functions, stored as log files, and read back by the parser."""
+def _written_logs(spark, sf_dir) -> str:
+    """Log files of the whole log, one for each segment."""
     path = f"{scratch_dir(spark)}/logs-{uuid.uuid4().hex}"
-    log = change_log(spark, sf_dir).where("seg < 2")
+    log = change_log(spark, sf_dir)
     record = B.log_record((~F.col("tomb")).cast("int"), F.col("key"), F.when(~F.col("tomb"), F.col("value")))
-    from sedimenta.sources.files import Files
+    write_files(log.select(B.file_name(F.col("seg"), ".wal").alias("file"), F.col("seq").alias("ord"), record.alias("record")), path)
+    return path
+
+
+def _written_sorted_files(spark, sf_dir) -> str:
+    """Sorted files of the whole log, one for each segment."""
+    path = f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = S.segment_entries(change_log(spark, sf_dir))
+    entry = B.sorted_entry(F.col("key"), F.col("value"))
+    write_files(rows.select(B.file_name(F.col("seg"), ".sst").alias("file"), F.col("key").alias("ord"), entry.alias("record")), path, sorted_file([]))
+    return path
 
-    files = Files(spark, path)
-    for seg, rows in _grouped(log.select("seg", "seq", record.alias("record"))):
-        files.create(f"{seg:08d}.wal", b"".join(rows))
-    out = read_logs(spark, path)
-    base = F.regexp_extract("file", r"^(\d+)", 1).cast("long") * 500
+
+@query(f"WITH {LOG} SELECT seq, key, CASE WHEN tomb THEN NULL ELSE value END AS value, tomb FROM log")
+def wal_replay(spark, sf_dir):
+    """Records written by column functions, stored as log files, and read back by the parser."""
+    out = read_logs(spark, _written_logs(spark, sf_dir))
+    base = B.file_id(F.col("file")) * 500
     return out.select((base + F.col("ord")).alias("seq"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tomb")
 
 
-def _grouped(rows: DataFrame):
-    """Two segments of 500 short records."""
-    out: dict[int, list[bytes]] = {}
-    for r in rows.orderBy("seg", "seq").collect():
-        out.setdefault(r.seg, []).append(bytes(r.record))
-    return out.items()
+@query(f"WITH {ENTRIES} SELECT CAST(seg AS BIGINT) AS seg, row_number() OVER (PARTITION BY seg ORDER BY key) - 1 AS ord, key, value, tomb FROM entries")
+def sst_codec(spark, sf_dir):
+    """Sorted files written by column functions and read back by the parser, in key order."""
+    out = read_sorted_files(spark, _written_sorted_files(spark, sf_dir))
+    return out.select(B.file_id(F.col("file")).alias("seg"), "ord", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tomb")
 
 
 # ---- sorted files ----
@@ -223,6 +245,16 @@ def sst_index_seek_before_first(spark, sf_dir):
     return S.index_seek(S.sparse_index(entries(spark, sf_dir)), "a")
 
 
+@query(f"WITH {OFFSETS}, probes AS (SELECT DISTINCT l.seg, p.key FROM log l, (SELECT DISTINCT key FROM log) p) SELECT p.seg, p.key, coalesce(s.\"offset\", 0) AS \"offset\" FROM probes p ASOF LEFT JOIN sparse s ON p.seg = s.seg AND p.key >= s.key")
+def sst_index_seek_all(spark, sf_dir):
+    """Every key sought in every file: an as-of join."""
+    rows = entries(spark, sf_dir)
+    index = S.sparse_index(rows)
+    keys, files = rows.select("key").distinct(), rows.select("seg").distinct().agg(F.collect_list("seg").alias("segs"))
+    probes = keys.join(F.broadcast(files)).select(F.explode("segs").alias("seg"), "key")  # the list of files is metadata
+    return S.index_seek_all(index, probes)
+
+
 @query(f"WITH {ENTRIES} SELECT seg, key, value, tomb FROM entries WHERE key = '{LO}'")
 def sst_point_get(spark, sf_dir):
     return entries(spark, sf_dir).where(F.col("key") == LO)
@@ -289,15 +321,15 @@ def compaction_pick(spark, sf_dir):
     return spark.createDataFrame([(s.file_id, s.level, task.level) for s in task.inputs] if task else [], "file_id long, level int, output int")
 
 
-@query(f"WITH {LOG}, part AS (SELECT * FROM log WHERE seg < 4), last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM part) SELECT key, value, seq FROM last WHERE r = 1 AND NOT tomb")
+@query(f"WITH {LOG}, last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log) SELECT key, value, seq FROM last WHERE r = 1 AND NOT tomb")
 def compaction_l0_output(spark, sf_dir):
-    rows = V.normalised(change_log(spark, sf_dir).where("seg < 4")).withColumns({"commit": F.col("seg").cast("long"), "ord": F.col("seq")})
+    rows = V.normalised(S.segment_log(change_log(spark, sf_dir))).withColumns({"commit": F.col("seg").cast("long"), "ord": F.col("seq")})
     return C.compacted(rows, True).select("key", "value", F.col("ord").alias("seq"))
 
 
-@query(f"WITH {LOG}, part AS (SELECT * FROM log WHERE seg BETWEEN 4 AND 7), last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM part) SELECT key, CASE WHEN tomb THEN NULL ELSE value END AS value, tomb FROM last WHERE r = 1")
+@query(f"WITH {LOG}, last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log) SELECT key, CASE WHEN tomb THEN NULL ELSE value END AS value, tomb FROM last WHERE r = 1")
 def compaction_keeps_tombstones(spark, sf_dir):
-    rows = V.normalised(change_log(spark, sf_dir).where("seg between 4 and 7")).withColumns({"commit": F.col("seg").cast("long"), "ord": F.col("seq")})
+    rows = V.normalised(S.segment_log(change_log(spark, sf_dir))).withColumns({"commit": F.col("seg").cast("long"), "ord": F.col("seq")})
     return C.compacted(rows, False).select("key", "value", "tomb")
 
 
@@ -358,7 +390,7 @@ def store_reopened_scan(spark, sf_dir):
 
 @query(f"WITH {LATEST}, asked AS ({_ASKED}) SELECT a.key, v.value, v.key IS NOT NULL AS found FROM asked a LEFT JOIN alive v ON a.key = v.key")
 def store_multi_get(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 2000")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     keys = orders.select(F.concat(F.lit("user:"), F.lpad(F.col("o_custkey").cast("string"), 4, "0")).cast("binary").alias("key"))
     return _text(_loaded(spark, sf_dir).multi_get(keys))
 
@@ -373,3 +405,60 @@ def stream_latest(spark, sf_dir):
     log = events.select(F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("key"), F.col("props").alias("value"), (F.col("event_type") == "error").alias("tomb"), F.col("event_id").alias("seq"))
     ingest(log, store, f"{root}/checkpoint").awaitTermination()
     return _text(store.scan())
+
+
+@query(f"WITH {LATEST} SELECT key, value FROM alive")
+def stream_latest_values(spark, sf_dir):
+    """The newest values as state of a stream: what its updates leave."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    log = events.select(F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("key"), F.col("props").alias("value"), (F.col("event_type") == "error").alias("tomb"), F.col("event_id").alias("seq"))
+    out = f"{scratch_dir(spark)}/updates-{uuid.uuid4().hex}"
+    write = lambda batch, number: batch.write.parquet(f"{out}/batch={number}")
+    latest_values(log).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return V.live(spark.read.parquet(out))
+
+
+def _put_one_by_one(spark, sf_dir) -> Store:
+    """A store that got every record through put and delete, froze its buffer and compacted as it went."""
+    store = Store.create(spark, f"{scratch_dir(spark)}/puts-{uuid.uuid4().hex}", Config(memtable_size_limit=500_000, base_level_bytes=4000, max_l0_files=2, num_levels=4))
+    batch: list[tuple[bytes, bytes | None]] = []
+    for r in change_log(spark, sf_dir).orderBy("seq").toLocalIterator():  # a client's writes, one partition at a time
+        batch.append((r.key.encode(), None if r.tomb else r.value.encode()))
+        if len(batch) == 1000:
+            store.write(batch)
+            batch = []
+    store.write(batch)
+    return store
+
+
+@query(f"WITH {LATEST} SELECT key, value FROM alive")
+def store_puts(spark, sf_dir):
+    """put, delete, freeze, flush and background compaction; what is buffered is read too."""
+    store = _put_one_by_one(spark, sf_dir)
+    store.poll_compaction(wait=True)
+    return _text(store.scan())
+
+
+@query(f"WITH {LATEST} SELECT key, value FROM alive")
+def store_recovered(spark, sf_dir):
+    """The same after a reopening that replays the log, a flush and a compaction."""
+    store = _put_one_by_one(spark, sf_dir)
+    store.close()
+    store = Store.open(spark, store.path, Config(base_level_bytes=4000, max_l0_files=1, num_levels=4))
+    store.flush()
+    store.compact()
+    store.vacuum()
+    return _text(store.scan())
+
+
+@query(f"WITH {LATEST} SELECT key, value FROM alive")
+def import_sorted_files(spark, sf_dir):
+    """A folder of sorted files without a manifest becomes a store; later files are newer."""
+    return _text(Store.import_files(spark, _written_sorted_files(spark, sf_dir), f"{scratch_dir(spark)}/import-{uuid.uuid4().hex}").scan())
+
+
+@query(f"WITH {LATEST} SELECT key, value FROM alive")
+def import_log_files(spark, sf_dir):
+    """The same from log files."""
+    return _text(Store.import_files(spark, _written_logs(spark, sf_dir), f"{scratch_dir(spark)}/import-{uuid.uuid4().hex}").scan())

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.model import MAX_FIELD
+from sedimenta.sources.files import Files
 
 PUT, DELETE = 1, 0
 
@@ -84,3 +85,17 @@ def read_logs(spark: SparkSession, path: str, pattern: str = "*.wal") -> DataFra
 def read_sorted_files(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:
     """(file, ord, key, value, tomb) of all sorted files of a folder."""
     return _read(spark, path, pattern, lambda raw: ((k, v, not v) for k, v in entries(raw)))
+
+
+def write_files(rows: DataFrame, path: str, tail: bytes = b"") -> int:
+    """Byte-format files of rows (file, ord, record): one for each name, its records in order and `tail` behind.
+    Each is put together on an executor, so it must fit there, as a write buffer does; names and bytes
+    pass the driver one partition at a time. The number of files."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "record")))
+    whole = F.unhex(F.array_join(F.transform(ordered, lambda r: F.hex(r["record"])), ""))
+    files, n = Files(rows.sparkSession, path), 0
+    for r in rows.groupBy("file").agg(whole.alias("content")).toLocalIterator():
+        if not files.create(r.file, bytes(r.content) + tail):
+            raise FileExistsError(r.file)
+        n += 1
+    return n

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from sedimenta.model import Config, excluded, included
+from sedimenta.operators.compaction import Task
 from sedimenta.sources import manifest
 from sedimenta.sources.manifest import Conflict, replayed
 from sedimenta.sources.records import record, sorted_file
@@ -156,3 +157,64 @@ def test_stream_is_written_once(spark, tmp_path):
     q = latest_values(read()).writeStream.format("memory").queryName("lv").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(bytes(r.key), r.seq, r.tomb) for r in spark.table("lv").collect()} == {(b"a", 1, False), (b"b", 2, True)}
+
+
+def test_one_log_file_for_many_records(spark, tmp_path):
+    s = Store.create(spark, f"{tmp_path}/s")
+    for i in range(50):
+        s.put(b"k%d" % i, b"v")
+    assert s.files.list("wal") == ["00000000.wal"]
+    t = Store.open(spark, f"{tmp_path}/s")  # s has crashed
+    t.delete(b"k7")
+    assert t.files.list("wal") == ["00000000.wal", "00000001.wal"]
+    assert len(rows(Store.open(spark, f"{tmp_path}/s").scan())) == 49
+    with open(f"{tmp_path}/s/wal/00000001.wal", "ab") as f:
+        f.write(record(1, b"torn", b"x")[:-2])
+    u = Store.open(spark, f"{tmp_path}/s")
+    u.flush()
+    assert u.files.list("wal") == [] and len(rows(u.scan())) == 49
+
+
+def test_compaction_moves_files(spark, tmp_path):
+    s = Store.create(spark, f"{tmp_path}/s", Config(base_level_bytes=60, max_l0_files=1, num_levels=4, level_multiplier=3))
+    s.append(kv(spark, *((b"k%03d" % i, b"v" * 20) for i in range(20))))
+    (path,) = [x.path for x in s.segments()]
+    assert s.compact() >= 1
+    (moved,) = s.segments()
+    assert moved.path == path and moved.level > 0 and len(rows(s.scan())) == 20
+    s.append(kv(spark, (b"k001", None), (b"zzz", None)))
+    s.compact()
+    assert all(not x.num_deletions for x in s.segments() if x.level == 3)
+    s.vacuum()
+    assert len(rows(s.scan())) == 19 and len(rows(Store.open(spark, s.path).scan())) == 19
+
+
+def test_background_compaction(spark, tmp_path):
+    s = Store.create(spark, f"{tmp_path}/s", Config(memtable_size_limit=100, max_l0_files=2, base_level_bytes=60, num_levels=3))
+    want = {}
+    for i in range(12):
+        k, v = b"k%d" % (i % 5), b"v%02d" % i * 20
+        s.put(k, v)
+        want[k] = v
+        assert s.get(k) == v
+    assert not (s._flight and s.schedule_compaction())  # one in flight at most
+    s.close()
+    t = Store.open(spark, f"{tmp_path}/s")
+    assert rows(t.scan()) == want and any(x.level for x in t.segments())
+    t.strategy = type("Broken", (), {"pick": lambda *_: Task((), 1)})()
+    assert t.schedule_compaction() and not t.schedule_compaction()
+    with pytest.raises(ValueError):
+        t.poll_compaction(wait=True)
+
+
+def test_lookups_open_the_files_of_their_range(spark, tmp_path):
+    s = Store.create(spark, f"{tmp_path}/s", Config(max_l0_files=100))
+    for i in range(4):
+        s.append(kv(spark, *((b"%d%03d" % (i, j), b"v") for j in range(40))))
+    opened = []
+    files = s._files
+    s._files = lambda some: opened.append(len(some)) or files(some)
+    assert s.multi_get(spark.createDataFrame([(b"2001",), (b"2039",)], "key binary")).where("found").count() == 2
+    assert s.prefix(b"30").count() == 40
+    assert opened == [sum(x.first_key[:1] == c for x in s.segments()) for c in (b"2", b"3")]
+    assert s.multi_get(spark.createDataFrame([], "key binary")).count() == 0
