@@ -2,7 +2,9 @@
 
 The longest common turn prefix of a chosen and a rejected conversation is rendered once as the prompt;
 what follows on either side is its completion, in which only the assistant's turns are trained on.
-Results are segments, a row for each turn, so no conversation is gathered in one place."""
+Results are segments, a row for each turn; no conversation becomes one value. The turns of a pair go through
+one exchange, by pair, and all windows use it: they read a pair's turns in order in one task, which spills
+what does not fit."""
 
 from __future__ import annotations
 
@@ -16,11 +18,6 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|turn|>"), safe(role), F.lit("\n"), safe(text), F.lit("<|end|>\n"))
 
 
-def _placed(turns: DataFrame, pair: str) -> DataFrame:
-    order = Window.partitionBy("pair_id").orderBy("turn", "role", "text")
-    return turns.where(F.col(pair).isNotNull()).select(F.col(pair).alias("pair_id"), "turn", "role", "text").select("pair_id", "role", "text", F.row_number().over(order).cast("long").alias("pos"))
-
-
 def preference_segments(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", trained_role: str = "assistant") -> DataFrame:
     """(pair_id, part, pos, role, segment, trained, start) of every pair; both inputs have the columns
     pair, turn, role and text.
@@ -30,31 +27,37 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame, pair: str = "pai
     A pair that only one side has is all completion. Turns of a null pair belong to none and are left
     out. Null roles and texts render as empty. Turns of one number go by role and text, repeated ones
     stay. Other columns are ignored; empty tables give none."""
-    a, b = _placed(chosen, pair).alias("a"), _placed(rejected, pair).alias("b")
-    both = a.join(b, ["pair_id", "pos"], "full").select(
-        "pair_id", "pos", F.col("a.role").alias("ra"), F.col("a.text").alias("ta"), F.col("b.role").alias("rb"), F.col("b.text").alias("tb"),
-        F.col("a.pair_id").isNotNull().alias("in_a"), F.col("b.pair_id").isNotNull().alias("in_b"),
-    )
-    same = F.col("in_a") & F.col("in_b") & F.col("ra").eqNullSafe(F.col("rb")) & F.col("ta").eqNullSafe(F.col("tb"))
-    before = Window.partitionBy("pair_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("common", F.min(same.cast("int")).over(before) == 1)
-    side = lambda part, r, t: F.struct(F.lit(part).alias("part"), F.col(r).alias("role"), F.col(t).alias("text"))
-    parts = F.when(F.col("common"), F.array(side("prompt", "ra", "ta"))).otherwise(
-        F.concat(F.when(F.col("in_a"), F.array(side("chosen", "ra", "ta"))).otherwise(F.array()), F.when(F.col("in_b"), F.array(side("rejected", "rb", "tb"))).otherwise(F.array()))
-    )
-    rows = both.select("pair_id", "pos", F.inline(parts)).withColumn("segment", rendered(F.col("role"), F.col("text")))
+    side = lambda df, i: df.select(F.col(pair).alias("pair_id"), F.lit(i).alias("side"), "turn", "role", "text")
+    rows = side(chosen, 0).unionByName(side(rejected, 1)).where("pair_id is not null")
+    return _segments(rows.repartition("pair_id"), trained_role)
+
+
+def _segments(rows: DataFrame, trained_role: str) -> DataFrame:
+    """The segments of rows (pair_id, side, turn, role, text) that are partitioned by pair_id."""
+    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")).cast("long"))
+    beside = Window.partitionBy("pair_id").orderBy("pos", "side")  # the turns of one place follow each other
+    turn = F.struct("pos", "role", "text")
+    both = placed.withColumn("alike", F.when(F.col("side") == 0, F.lead(turn).over(beside).eqNullSafe(turn)).otherwise(F.lag(turn).over(beside).eqNullSafe(turn)))
+    both = both.withColumn("common", F.min(F.col("alike").cast("int")).over(Window.partitionBy("pair_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)) == 1)
+    part = F.when(F.col("common"), "prompt").when(F.col("side") == 0, "chosen").otherwise("rejected")
+    out = both.where("side = 0 or not common").withColumns({"part": part, "segment": rendered(F.col("role"), F.col("text"))})
     prior = Window.partitionBy("pair_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     trained = (F.col("part") != "prompt") & F.col("role").eqNullSafe(F.lit(trained_role))
-    return rows.select("pair_id", "part", "pos", "role", "segment", trained.alias("trained"), F.coalesce(F.sum(F.length("segment").cast("long")).over(prior), F.lit(0).cast("long")).alias("start"))
+    return out.select("pair_id", "part", "pos", "role", "segment", trained.alias("trained"), F.coalesce(F.sum(F.length("segment").cast("long")).over(prior), F.lit(0).cast("long")).alias("start"))
 
 
-def reply_pairs(turns: DataFrame, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
-    """Chosen: every conversation up to its last reply by the assistant. Rejected: the same with the
-    last reply of the conversation of the next id in that place; none if there is no such reply."""
+def reply_segments(turns: DataFrame, id_col: str = "conv_id", trained_role: str = "assistant") -> DataFrame:
+    """preference_segments of pairs made from conversations. Chosen: every conversation up to its last reply by
+    the assistant. Rejected: the same with the last reply of the conversation of the next id in that place;
+    none if there is no such reply. Null ids are left out."""
     turns = turns.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("pair_id"), "turn", "role", "text")
-    last = turns.where("role = 'assistant' and turn is not null").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("pair_id", F.col("m.turn").alias("last"), F.col("m.text").alias("reply"))
-    upto = turns.join(last, "pair_id").where("turn < last or turn is null or (turn = last and role = 'assistant')")
-    chosen = upto.select("pair_id", "turn", "role", "text")
-    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("foreign"), F.lit(True).alias("has"))
-    swapped = upto.join(other, "pair_id").select("pair_id", "turn", "role", F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("foreign")).otherwise(F.col("text")).alias("text"))
-    return chosen, swapped
+    replied = (F.col("role") == "assistant") & F.col("turn").isNotNull()
+    final = turns.where(replied).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("m"))
+    other = final.select((F.col("pair_id") - 1).alias("pair_id"), F.struct(F.col("m.text").alias("text")).alias("foreign"))
+    last = F.max(F.when(replied, F.col("turn"))).over(Window.partitionBy("pair_id"))
+    upto = turns.repartition("pair_id").withColumn("last", last).where("turn < last or (turn is null and last is not null) or (turn = last and role = 'assistant')")
+    swapped = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("foreign.text")).otherwise(F.col("text"))
+    side = lambda i, text: F.struct(F.lit(i).alias("side"), text.alias("text"))
+    sides = F.when(F.col("foreign").isNull(), F.array(side(0, F.col("text")))).otherwise(F.array(side(0, F.col("text")), side(1, swapped)))
+    rows = upto.join(other, "pair_id", "left").select("pair_id", "turn", "role", F.inline(sides))
+    return _segments(rows, trained_role)

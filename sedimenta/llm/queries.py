@@ -46,7 +46,7 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_segments(*chat.reply_pairs(documents(spark, sf_dir, "conversations")))
+    return chat.reply_segments(documents(spark, sf_dir, "conversations"))
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

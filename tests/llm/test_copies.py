@@ -255,18 +255,53 @@ def test_passage_twice_in_a_document(spark):
             assert len(held & set(range(start, start + 90))) >= 85
 
 
+def test_compositions_against_brute_force(spark):
+    """Texts put together from pieces of a few sources, with edits and loops: every run of 50 words that an
+    earlier document has is found."""
+    for seed in (0, 2):
+        rng, rows = random.Random(seed), []
+        src = [own_words(rng, 400) for _ in range(6)]
+        for i in range(300):
+            w = []
+            for _ in range(rng.randrange(1, 7)):
+                k = rng.random()
+                if k < 0.7:
+                    s = rng.choice(src)
+                    at = rng.randrange(len(s))
+                    piece = s[at : at + rng.choice([6, 10, 20, 30, 45, 49, 50, 51, 60, 80, 120])]
+                    for _ in range(max(1, len(piece) // 12) if rng.random() < 0.4 else 0):
+                        piece[rng.randrange(len(piece))] = f"edit{rng.randrange(50)}"
+                    w += piece
+                else:
+                    w += ["to", "be", "or"] * rng.randrange(1, 40) if k < 0.8 else own_words(rng, rng.randrange(1, 40))
+            rows.append((i * 3, " ".join(w)))
+        found = passages.repeated_passages(documents(spark, rows)).collect()
+        assert not uncovered(rows, found)
+        own = {i: split(t) for i, t in rows}
+        for r in found:
+            assert r.end - r.start >= 50 and r.errors <= 0.2 * (r.end - r.start) and r.ref_id < r.doc_id
+            assert r.errors or own[r.doc_id][r.start : r.end] == own[r.ref_id][r.ref_start : r.ref_end]
+
+
 def test_images(spark):
+    """Recall of each kind of edit, none of it across scenes; large groups of copies; all that isn't an image."""
+    edits = {"half": lambda x: x[10:61, 9:60], "third": lambda x: x[14:56, 15:57], "small": lambda x: media._scaled(x, 0.8), "smaller": lambda x: media._scaled(x, 0.7), "turned": np.rot90, "dark": lambda x: x * 0.8 + 12, "gamma": lambda x: 255 * (x / 255) ** 1.3, "noise": lambda x: np.clip(x + np.random.default_rng(1).normal(0, 4, x.shape), 0, 255)}
     rows = []
-    for seed in range(12):
+    for seed in range(30):
         full = media.scene(seed)
-        rows += [(10 * seed, full), (10 * seed + 1, full[4:66, 5:68]), (10 * seed + 2, full * 0.8 + 12), (10 * seed + 3, np.rot90(full))]
+        rows += [(20 * seed, full), *((20 * seed + 1 + k, f(full)) for k, f in enumerate(edits.values()))]
+    rows += [(700 + i, media.scene(99) * (1 - i / 300) + i / 40) for i in range(60)]
     rows = [(i, bytearray(media.png(x))) for i, x in rows] + [(900, None), (901, bytearray(b"no image")), (902, bytearray(b"no image")), (None, bytearray(media.png(media.scene(0)))), (903, None), (904, bytearray(media.png(np.zeros((4, 4)))))]
     df = spark.createDataFrame([(i, m, 1, "x") for i, m in rows], "media_id long, media binary, id long, points string")
-    got = {r.media_id: r for r in media.copies(df).collect() if r.media_id is not None}
-    assert len(got) == len(rows) - 1
-    right = sum(got[i].class_id == i // 10 * 10 for i, _ in rows if i is not None and i < 900)
-    assert right >= 46
+    out = media.copies(df).collect()
+    got = {r.media_id: r for r in out if r.media_id is not None}
+    assert len(out) == len(rows)
+    for k, name in enumerate(edits):
+        assert sum(got[20 * seed + 1 + k].class_id == 20 * seed for seed in range(30)) >= (24 if name == "third" else 27), name
+    assert all(got[i].class_id // 20 == i // 20 for i in got if i < 600)
+    assert {got[700 + i].class_id for i in range(60)} == {700} and all(got[700 + i].n_links for i in range(60))
     assert got[900].class_id == 900 and got[903].class_id == 903 and got[901].class_id == got[902].class_id == 901 and got[904].n_points == 0
+    assert [r.class_id for r in out if r.media_id is None] == [None]
     assert media.copies(df.where("false")).count() == 0
 
 
@@ -274,4 +309,8 @@ def test_png_and_pnm():
     x = np.random.default_rng(1).integers(0, 256, (9, 7)).astype(float)
     assert (media.decode(media.png(x)) == x).all()
     assert (media.decode(b"P5 # note\n7 9\n255\n" + x.astype(np.uint8).tobytes()) == x).all()
+    for cut in (b"P5", b"P5 12", b"P5 #", b"P5 7 9 255", b"P5 7 9 255\nxx", b"P6 99999 99999 255\n", media.png(x)[:40], media.png(np.zeros((300, 300)))[:-60]):
+        assert media.decode(cut) is None
+    bomb = media.struct.pack(">IIBBBBB", 60000, 60000, 8, 0, 0, 0, 0)
+    assert media.decode(b"\x89PNG\r\n\x1a\n" + media.struct.pack(">I", 13) + b"IHDR" + bomb + b"0000") is None
     assert media.decode(None) is None and media.decode(b"\x89PNG\r\n\x1a\nxx") is None and media.decode(b"") is None

@@ -90,9 +90,15 @@ def test_preferences(spark):
 
 
 def test_reply_pairs(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "after"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (4, 0, "user", "alone")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    chosen, rejected = ([tuple(r) for r in x.orderBy("pair_id", "turn").collect()] for x in chat.reply_pairs(df))
-    assert chosen == [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d")]
-    assert rejected == [(1, 0, "user", "a"), (1, 1, "assistant", "d")]
-    assert "Python" not in chat.preference_segments(*chat.reply_pairs(df))._jdf.queryExecution().toString()
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "after"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (4, 0, "user", "alone"), (7, None, "user", "x"), (7, 3, "assistant", None), (None, 0, "assistant", "y")]
+    long = [(8, i, "user" if i % 2 == 0 else "assistant", "t" * i) for i in range(3000)]  # the last turn differs
+    df = spark.createDataFrame(rows + long, "conv_id long, turn long, role string, text string")
+    chosen = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (7, None, "user", "x"), (7, 3, "assistant", None), *long]
+    rejected = [(1, 0, "user", "a"), (1, 1, "assistant", "d"), (7, None, "user", "x"), (7, 3, "assistant", long[-1][3])]
+    out = chat.reply_segments(df)
+    assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[:3]) == brute_segments(chosen, rejected)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange hashpartitioning") <= 3
+    assert chat.reply_segments(df.where("false")).count() == 0
+
+
