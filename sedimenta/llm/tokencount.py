@@ -3,8 +3,10 @@
 Pass one gathers the distinct pre-tokens of the corpus and how often they occur; the library counts the
 pieces of each once. Pass two sums, per document, pieces times frequency: the most frequent pre-tokens
 (at most HEAD of them, 16 bytes each) stand in a broadcast table, and all others go to their counts by
-a shuffle join. Both ways are exact. Texts with characters beyond Latin Extended-A, controls or `<|`
-are counted by the library whole."""
+a shuffle join. Pre-tokens are told apart by 64-bit hashes; but for a collision of two, both ways are exact.
+Texts of ordinary characters are split with array operations, those with others (beyond Latin Extended-A,
+controls, `<|`) by the library's normaliser and splitter, and then take the same way. Only a text that
+holds an added token's string is counted by the library whole."""
 
 from __future__ import annotations
 
@@ -22,6 +24,7 @@ HEAD = 1 << 20
 FLUSH = 400_000
 _BANNED = (b"<|", b"\xc2\x85", b"\xc2\xa0", b"\xc4\xb0")
 _libs: dict = {}
+_added: dict[int, list[str]] = {}
 
 
 def _lib(path: str):
@@ -63,11 +66,34 @@ def pretokens(data: np.ndarray, offs: np.ndarray, odd: np.ndarray):
     return starts[keep], ends[keep], doc[keep]
 
 
-def _split(col: pa.Array):
+def _pieces(lib, text: str) -> list[str] | None:
+    """The normalised pre-tokens of any text as the library splits it; None if an added token stands in it."""
+    if id(lib) not in _added:
+        _added[id(lib)] = [t.content for t in lib.get_added_tokens_decoder().values()]
+    if any(t in text for t in _added[id(lib)]):
+        return None
+    plain = lib.normalizer.normalize_str(text) if lib.normalizer else text
+    return [plain[a:z] for _, (a, z) in lib.pre_tokenizer.pre_tokenize_str(plain)]
+
+
+def _split(col: pa.Array, lib):
+    """(bytes, texts to be counted whole, starts, ends, text and hash of each pre-token)."""
     data, offs = textkit.utf8(col)
     odd = odd_texts(data, offs, False, _BANNED)
     starts, ends, doc = pretokens(data, offs, odd)
-    return data, offs, odd, starts, ends, doc, textkit.span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    more, owner = [], []
+    for i in np.flatnonzero(odd).tolist():
+        own = _pieces(lib, col[i].as_py())
+        if own is not None:
+            odd[i] = False
+            more += [p.encode() for p in own]
+            owner += [i] * len(own)
+    if more:
+        size = np.array([len(p) for p in more], np.int64)
+        at = len(data) + np.cumsum(size)
+        data = np.concatenate([data, np.frombuffer(b"".join(more), np.uint8)])
+        starts, ends, doc = np.concatenate([starts, at - size]), np.concatenate([ends, at]), np.concatenate([doc, np.array(owner, np.int64)])
+    return data, odd, starts, ends, doc, textkit.span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def _distinct(h: np.ndarray):
@@ -87,6 +113,7 @@ def piece_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     def gather(batches):
         seen: dict[int, int] = {}
         texts: list[str] = []
+        lib = _lib(path)
 
         def flush():
             out = pa.record_batch([pa.array(np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64)), pa.array(texts, pa.string()), pa.array(list(seen.values()), pa.int64())], ["h", "piece", "n"])
@@ -96,7 +123,7 @@ def piece_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
 
         for batch in batches:
             for b in textkit.slices(batch, "text"):
-                data, _, _, starts, ends, _, h = _split(b.column(0))
+                data, _, starts, ends, _, h = _split(b.column(0), lib)
                 uniq, rep, which = _distinct(h)
                 n = np.bincount(which, minlength=len(uniq)).tolist()
                 raw = data.tobytes()
@@ -150,7 +177,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
         lib = _lib(path)
         for batch in batches:
             for b in textkit.slices(batch, "text"):
-                _, offs, odd, _, _, doc, h = _split(b.column(1))
+                _, odd, _, _, doc, h = _split(b.column(1), lib)
                 uniq, _, which = _distinct(h)
                 pos = np.minimum(np.searchsorted(keys, uniq), max(len(keys) - 1, 0))
                 hit = keys[pos] == uniq if len(keys) else np.zeros(len(uniq), bool)

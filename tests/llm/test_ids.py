@@ -27,9 +27,10 @@ def test_encoder_is_the_library(some):
 
 
 @settings(max_examples=300, deadline=None)
-@given(ODD)
+@given(ODD | st.text(alphabet=st.sampled_from(list("aЖяΣςİıﬁ日本한😀👩\u200d\u0301\u0627’“”'s\u3000 12\n")), max_size=30))
 def test_pretokens_are_the_library(t):
-    data, _, odd, starts, ends, _, _ = tokencount._split(pa.array([t]))
+    data, odd, starts, ends, _, _ = tokencount._split(pa.array([t]), WORD)
+    assert not odd[0] or "<|" in t
     if not odd[0]:
         pieces = [data[a:z].tobytes().decode() for a, z in zip(starts, ends)]
         assert sum(len(WORD.encode(p, add_special_tokens=False).ids) for p in pieces) == len(WORD.encode(t, add_special_tokens=False).ids)
@@ -120,6 +121,9 @@ def test_exact_complements():
 def test_token_counts(spark, monkeypatch, head):
     monkeypatch.setattr(tokencount, "HEAD", head)
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(documents(spark), limit=50).collect()}
+    more = ["Привет, мир! Это проверка.", "日本語のテキスト、混ざった text", "emoji 😀👩‍👩‍👧 and “curly” quotes’s", "a\tb <|endoftext|> c", "e\u0301 é"] * 2
+    some = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(documents(spark, list(enumerate(more)))).collect()}
+    assert some == {i: len(WORD.encode(t, add_special_tokens=False).ids) for i, t in enumerate(more)}
     for i, t in enumerate(texts()):
         n = len(WORD.encode(t or "", add_special_tokens=False).ids)
         assert got[i] == (len((t or "").encode()), n, n > 50)
