@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, packing.
 
 Stages take (spark, docs, sf_dir); docs has the columns of documents, and so has what every stage but
-the last returns."""
+the last returns. An empty table gives an empty one. Rows without an id stay up to packing: they are in no
+group, hold no passage and are no copy; their contamination isn't asked."""
 
 from __future__ import annotations
 
@@ -18,30 +19,35 @@ LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; without letters, or unlike all of them, they go."""
+    """Documents in one of the labelled languages; without letters, or unlike all of them, they go,
+    and so do null and empty texts. Repeated rows are judged alike."""
     model = langid.train(docs, F.lit(True))
     return langid.identify(docs, model).where(F.col("lang_pred") != "und").where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
+    """One document of each group of near-duplicates, the one of the smallest id. Null, empty and
+    wordless texts are near nothing and stay; all rows of an id that stays stay."""
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of at least 50 words that an earlier one has."""
+    """Documents without the passages of at least 50 words that an earlier one has. A document of
+    nothing else goes; null texts stay, and rows of one id are cut alike."""
     return passages.without_passages(docs, passages.repeated_passages(docs)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no 8-word window of a benchmark item."""
+    """Documents that hold no 8-word window of a benchmark item. Null and wordless texts hold none
+    and stay; all rows of an id go if one does."""
     found = decontam.contamination(docs, documents(spark, sf_dir, "benchmark"), least_items=1)
     return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens. A null text is its end token; repeated rows are
+    packed as often as they come."""
     return packing.pack(docs)
 
 

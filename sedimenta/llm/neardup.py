@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     den * |intersection| >= num * |union| of their k-word shingle sets.
 
     Null, empty and wordless texts have empty sets and are linked with nothing. A null id is linked with
-    nothing, its component is null and it is kept. Rows of one id are one node with the sets of all.
+    nothing, its component is null and it is kept. Rows of one id are one node with the sets of all;
+    ids are integers, or cast to long.
     Other columns are ignored; an empty table gives none. Sets are of 64-bit hashes. With the default
     bands a link at exactly the threshold is missed with a chance of 3e-7 (32 bands of 6 at 0.85: 3e-7),
     above it less; the prefilter on whole signatures keeps four and a half standard deviations (3e-6)."""

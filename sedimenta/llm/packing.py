@@ -1,9 +1,11 @@
 """Best-fit packing by exact-complement hashing.
 
 Pieces are packed by length alone. The histogram of lengths (at most `cap` numbers) goes to the driver;
-there each longest remaining length opens sequences, whose gap is looked up in an index of single, pair
-and triple length sums and filled exactly as often as the counts allow; what no combination fills goes
-by best fit, longest first. The plan is a bounded list of patterns with multiplicities. Pieces take
+there each longest remaining length opens sequences, whose gap is looked up by length (one piece) or by
+length of the complement (a second, a third piece) in the table of counts, and filled exactly as often
+as the counts allow. Pair and triple sums are not kept: the table answers them in at most cap steps a
+look-up, and every count that changes would change thousands of sums. What no combination fills goes by
+best fit, longest first. The plan is a bounded list of patterns with multiplicities. Pieces take
 their places by their rank among those of their length, found with two-level counts."""
 
 from __future__ import annotations

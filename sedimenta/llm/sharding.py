@@ -51,6 +51,12 @@ def _code(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("long")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        raise ValueError(f"{name} has no order: {kind.simpleString()}")
     return F.col(name).cast("double") if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(name).cast("long")
 
 
@@ -60,7 +66,8 @@ def shard(docs: DataFrame, dims: list[str] | None = None, shards: int = 8, id_co
     The law is `rows`: shard sizes differ by one row at most. `size` is the bytes of the text plus 1. A
     null in a dimension lies in its first cell; a null text has size 1 and the crc of no bytes. Ties on
     the curve go by id, size and crc, and repeated rows follow each other. Other columns are ignored;
-    an empty table gives none. dims: columns of docs; default lang, source, size and id, as present."""
+    an empty table gives none. dims: columns of docs, of any type with an order (else a ValueError); default
+    lang, source, size and id, as present."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     dims = dims if dims is not None else [c for c in ("lang", "source", id_col) if c in docs.columns]
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[_code(docs, c).alias(f"d{i}") for i, c in enumerate(dims)])

@@ -28,3 +28,16 @@ def test_stages(spark, tmp_path):
     assert all(cut[i].text == t for i, t in rows if i < 12)
     assert set(seen["decontaminate"]) == set(cut) - {40}
     assert set(seen["pack"]) == set(seen["decontaminate"])
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty, and one with nulls, empties, repeated rows and a very long text."""
+    rng = random.Random(3)
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = lambda n: " ".join(f"stone{rng.randrange(10**7)}" for _ in range(n))
+    text = own(60)
+    for rows, want in (([], set()), ([(1, None), (2, ""), (3, text), (3, text), (4, own(60_000)), (None, own(20))], {3, 4, None})):
+        docs = documents(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, str(tmp_path)), name)
+        assert {r.doc_id for r in docs.collect()} == want
