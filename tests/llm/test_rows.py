@@ -97,8 +97,8 @@ def test_reply_pairs(spark):
     rejected = [(1, 0, "user", "a"), (1, 1, "assistant", "d"), (7, None, "user", "x"), (7, 3, "assistant", long[-1][3])]
     out = chat.reply_segments(df)
     assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[:3]) == brute_segments(chosen, rejected)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and plan.count("Exchange hashpartitioning") <= 3
+    plan = chat.reply_segments(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("EvalPython", "MapIn", "PythonUDF", "InPandas")) and plan.count("Exchange hashpartitioning") <= 3
     assert chat.reply_segments(df.where("false")).count() == 0
 
 
