@@ -60,6 +60,21 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/shards").count() == docs.count()
 
 
+def test_shards_prune_in_every_dimension(spark):
+    """A value of any dimension lies between the ends of fewer shards than all."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "x" * int(rng.integers(1, 3000)), f"l{rng.integers(0, 8)}", f"s{rng.integers(0, 8)}") for i in rng.permutation(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shard = {r.doc_id: r.shard for r in sharding.shard(docs, shards=64).collect()}
+    for value in (lambda r: r[0], lambda r: len(r[1]), lambda r: r[2], lambda r: r[3]):
+        ends = {}
+        for r in rows:
+            a, z = ends.get(shard[r[0]], (value(r), value(r)))
+            ends[shard[r[0]]] = min(a, value(r)), max(z, value(r))
+        read = np.mean([sum(a <= value(r) <= z for a, z in ends.values()) for r in rows[:200]])
+        assert read < 0.75 * 64, read
+
+
 def turns(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "pair_id long, turn long, role string, text string, part string, pos int")
 
