@@ -1,12 +1,10 @@
 """Best-fit packing by exact-complement hashing.
 
 Pieces are packed by length alone. The histogram of lengths (at most `cap` numbers) goes to the driver;
-there each longest remaining length opens sequences, whose gap is looked up by length (one piece) or by
-length of the complement (a second, a third piece) in the table of counts, and filled exactly as often
-as the counts allow. Pair and triple sums are not kept: the table answers them in at most cap steps a
-look-up, and every count that changes would change thousands of sums. What no combination fills goes by
-best fit, longest first. The plan is a bounded list of patterns with multiplicities. Pieces take
-their places by their rank among those of their length, found with two-level counts."""
+there the sums of one, two and three lengths are indexed, each longest remaining length opens sequences, and
+their gap is looked up in the index and filled exactly as often as the counts allow. What no combination
+fills goes by best fit, longest first. The plan is a bounded list of patterns with multiplicities. Pieces
+take their places by their rank among those of their length, found with two-level counts."""
 
 from __future__ import annotations
 
@@ -22,32 +20,65 @@ from sedimenta.llm.encode import encoder, tokenizer_path
 from sedimenta.llm.shared import stored
 
 
-def _complement(c: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths with the sum `gap`, large ones first; c: counts by length."""
-    if gap < len(c) and c[gap] > 0:
-        return (gap,)
-
-    def pair(total: int) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        b = np.arange(min(total - 1, len(c) - 1), (total - 1) // 2, -1)
-        a = total - b
-        ok = (c[a] > 0) & (c[b] > 0) & ((a != b) | (c[b] > 1))
-        if not ok.any():
-            return None
-        i = int(ok.argmax())
-        return int(b[i]), int(a[i])
-
-    if two := pair(gap):
-        return two
-    for a in range(min(gap - 2, len(c) - 1), (gap - 1) // 3, -1):
-        if c[a] > 0:
-            c[a] -= 1
-            two = pair(gap - a)
-            c[a] += 1
-            if two:
-                return (a, *two)
-    return None
+class Sums:
+    """Sums of one, two and three available lengths, each with its combination of the largest first length.
+
+    Counts only fall, so a combination that is used up stays so: a sum's entry moves on to the next one when
+    it is met, down to none, and no other entry needs a change. The index is a few numbers for each sum."""
+
+    def __init__(self, counts: np.ndarray):
+        self.count: list[int] = counts.tolist()
+        cap = len(counts) - 1
+        two, three = np.zeros(cap + 1, np.int64), np.zeros(cap + 1, np.int64)
+        have = np.flatnonzero(counts)
+        for b in have.tolist():  # later ones are larger
+            two[b + have[(have <= b) & (have + b <= cap) & ((have < b) | (counts[b] > 1))]] = b
+        sums = np.flatnonzero(two)
+        for a in have.tolist():
+            three[a + sums[sums + a <= cap]] = a
+        self.two: list[int] = two.tolist()
+        self.three: list[int] = three.tolist()
+
+    def _free(self, length: int, aside: tuple[int, ...]) -> int:
+        return self.count[length] - aside.count(length)
+
+    def _pair(self, total: int, aside: tuple[int, ...]) -> tuple[int, int] | None:
+        b, dead = self.two[total], True
+        while 2 * b >= total > 1:
+            a = total - b
+            least = 2 if a == b else 1
+            if self._free(b, aside) >= least and self._free(a, aside) >= least:
+                return b, a
+            dead = dead and not (self.count[b] >= least and self.count[a] >= least)
+            b -= 1
+            if dead:
+                self.two[total] = b if 2 * b >= total else 0
+        return None
+
+    def _triple(self, total: int, aside: tuple[int, ...]) -> tuple[int, int, int] | None:
+        a, dead = self.three[total], True
+        while 3 * a >= total > 2:
+            if self._free(a, aside) > 0 and (two := self._pair(total - a, (*aside, a))):
+                return a, *two
+            dead = dead and not (self.count[a] and self.two[total - a])
+            a -= 1
+            if dead:
+                self.three[total] = a if 3 * a >= total else 0
+        return None
+
+    def find(self, gap: int, aside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """One, two or three available lengths with the sum `gap`, beside those put aside; large ones first."""
+        if self._free(gap, aside) > 0:
+            return (gap,)
+        return self._pair(gap, aside) or self._triple(gap, aside)
+
+    def take(self, lengths: tuple[int, ...]) -> int:
+        """How often the combination can be had; it is taken so often."""
+        times = {n: lengths.count(n) for n in lengths}
+        m = min(self.count[n] // k for n, k in times.items())
+        for n, k in times.items():
+            self.count[n] -= k * m
+        return m
 
 
 def plan(histogram: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
@@ -57,25 +88,17 @@ def plan(histogram: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int
         if not 0 < length <= cap:
             raise ValueError(f"length {length} is not in 1..{cap}")
         c[length] += n
+    sums = Sums(c)
     out: list[tuple[tuple[int, ...], int]] = []
     left: list[tuple[int, int]] = []
     for length in range(cap, 0, -1):
-        while c[length] > 0:
-            if length == cap:
-                out.append(((cap,), int(c[cap])))
-                c[cap] = 0
-                break
-            c[length] -= 1
-            rest = _complement(c, cap - length)
-            c[length] += 1
+        while n := sums.count[length]:
+            rest = sums.find(cap - length, (length,)) if length < cap else ()
             if rest is None:
-                left.append((length, int(c[length])))
-                c[length] = 0
-                break
-            lengths, times = np.unique((length, *rest), return_counts=True)
-            m = int((c[lengths] // times).min())
-            c[lengths] -= times * m
-            out.append(((length, *rest), m))
+                left.append((length, n))
+                sums.count[length] = 0
+            else:
+                out.append(((length, *rest), sums.take((length, *rest))))
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length, n in left:
         while n:

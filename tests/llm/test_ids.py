@@ -1,4 +1,5 @@
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,25 @@ def test_exact_complements():
     assert sum(m for _, m in packing.plan({30: 2, 20: 3, 15: 4, 45: 0 + 1}, 60)) == 4
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 3), max_size=12), st.lists(st.integers(1, 24), max_size=40))
+def test_sums_against_brute_force(histogram, gaps):
+    """While counts fall, a combination is found if and only if there is one."""
+    left, sums = dict(histogram), packing.Sums(np.array([histogram.get(n, 0) for n in range(25)]))
+    for gap in gaps:
+        opened = max((n for n, k in left.items() if k), default=0)
+        aside = (opened,) if opened else ()
+        free = sorted(n for n, k in left.items() for _ in range(k - (n == opened)))
+        want = any(sum(c) == gap for size in (1, 2, 3) for c in combinations(free, size))
+        got = sums.find(gap, aside)
+        assert (got is not None) == want
+        if got:
+            times = sums.take((*aside, *got))
+            for n in (*aside, *got):
+                left[n] -= times
+            assert times > 0 and min(left.values()) >= 0
+
+
 @pytest.mark.parametrize("head", [1 << 20, 5])
 def test_token_counts(spark, monkeypatch, head):
     monkeypatch.setattr(tokencount, "HEAD", head)
