@@ -2,7 +2,10 @@
 
 Features are square roots of hashed byte n-gram counts (orders 1 to 4) of the whole lower-cased text,
 normalised. Linear support vector machines (squared hinge) are trained here on a bounded sample of
-labelled rows; families vote first, then only the languages of the winning family."""
+labelled rows; families vote first, then only the languages of the winning family.
+
+Machines that hold two languages apart say nothing of a third that none has seen. So a text is also held
+against the mean features of each language, and its cosine against those of labelled texts of its size."""
 
 from __future__ import annotations
 
@@ -72,8 +75,14 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tupl
 class Model:
     """Families and languages with their pairwise machines."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: np.ndarray):
         names = np.array(langs, object)
+        means = np.stack([x[names == n].mean(0, dtype=np.float64) for n in sorted(set(langs))])
+        self.means = (means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)).T
+        least = np.full(66, np.inf)
+        np.minimum.at(least, self._octave(sizes) + 1, (x @ self.means).max(1))
+        near = np.minimum(np.minimum(least[:-2], least[2:]), least[1:-1])
+        self.least = np.where(np.isfinite(near), near, least.min())
         family = {n: next((f for f, own in FAMILIES.items() if n in own), n) for n in set(langs)}
         of = np.array([family[n] for n in langs], object)
         self.families = sorted(set(family.values()))
@@ -81,6 +90,15 @@ class Model:
         self.top = self._pairs(x, of, self.families)
         self.within = {f: self._pairs(x, names, own) for f, own in self.members.items()}
 
+    @staticmethod
+    def _octave(sizes):
+        return np.log2(np.maximum(sizes, 1)).astype(int)
+
+    def typical(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The cosine with the nearest language's mean, as a multiple of the least one that a labelled row of
+        the sample of like size (by powers of two, one up or down) has: below 1 no such row was as odd."""
+        return (x @ self.means).max(1) / np.maximum(self.least[self._octave(sizes)], 1e-9)
+
     @staticmethod
     def _pairs(x, labels, names):
         out = {}
@@ -128,11 +146,12 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for batch in batches:
             for b in textkit.slices(batch, "text"):
-                yield pa.record_batch([b.column(0), b.column(2), pa.array([r.tobytes() for r in features(*textkit.utf8(b.column(1)))], pa.binary())], ["lang", "h", "x"])
+                data, offs = textkit.utf8(b.column(1))
+                yield pa.record_batch([b.column(0), b.column(2), pa.array([r.tobytes() for r in features(data, offs)], pa.binary()), pa.array(np.diff(offs).astype(np.int64))], ["lang", "h", "x", "size"])
 
-    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).mapInArrow(run, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).mapInArrow(run, "lang string, h long, x binary, size long").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     x = np.frombuffer(b"".join(drawn.column("x").to_pylist()), np.float32).reshape(-1, DIM)
-    return Model(x, drawn.column("lang").to_pylist()) if len(x) else None
+    return Model(x, drawn.column("lang").to_pylist(), drawn.column("size").to_numpy()) if len(x) else None
 
 
 def _letters(b: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -149,12 +168,13 @@ def held_out(id_col: str) -> Column:
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, a row for each row; keep: the columns of docs that stay (all).
+    """docs with lang_pred, score and typical, a row for each row; keep: the columns of docs that stay (all).
 
-    A null text, or one without a letter of any script, is `und` with score 0, and so is every row when
-    nothing was learned. With a single language all others are that with score 1. Other columns are
-    carried along; columns of docs named lang_pred or score are replaced. An empty table gives none."""
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
+    typical: how near the text is to a learned language, as a multiple of the least that a labelled row of
+    its size has. A null text, or one without a letter of any script, is `und` with score and typical 0, and so is every
+    row when nothing was learned. With a single language all others are that with score 1. Other columns are
+    carried along; columns of docs named lang_pred, score or typical are replaced. An empty table gives none."""
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "typical")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, back = positional(docs, names, text_col)
 
@@ -164,11 +184,12 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             for b in textkit.slices(batch, "text"):
                 data, offs = textkit.utf8(b.column("text"))
                 has = _letters(b, data, offs)
-                lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
+                lang, score, typical = np.full(b.num_rows, "und", object), np.zeros(b.num_rows), np.zeros(b.num_rows)
                 if model is not None and has.any():
                     rows_ = np.flatnonzero(has)
-                    x = features(data, offs)
-                    lang[rows_], score[rows_] = model.predict(x[rows_].astype(np.float64))
-                yield pa.record_batch([*b.columns[1:], pa.array(lang.tolist(), pa.string()), pa.array(score)], [*b.schema.names[1:], "lang_pred", "score"])
+                    x = features(data, offs)[rows_].astype(np.float64)
+                    lang[rows_], score[rows_] = model.predict(x)
+                    typical[rows_] = model.typical(x, np.diff(offs)[rows_])
+                yield pa.record_batch([*b.columns[1:], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(typical)], [*b.schema.names[1:], "lang_pred", "score", "typical"])
 
-    return back(rows.mapInArrow(run, f"{ddl(rows, 1)}lang_pred string, score double"), "lang_pred", "score")
+    return back(rows.mapInArrow(run, f"{ddl(rows, 1)}lang_pred string, score double, typical double"), "lang_pred", "score", "typical")

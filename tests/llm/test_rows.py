@@ -30,6 +30,14 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
     one = langid.identify(df, langid.train(df.where("lang = 'en'"), ~langid.held_out("doc_id"))).where("lang_pred <> 'und'")
     assert {(r.lang_pred, r.score) for r in one.collect()} == {("en", 1.0)}
+    odd = [(1, "政府今天早上宣布新的措施将在下个月底之前提交给议会" * 3), (2, "QWxhZGRpbjpvcGVuIHNlc2FtZQ0K" * 8), (3, "правительство сообщило что новые меры будут представлены " * 3)]
+    assert all(r.typical < 0.75 for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), model).collect())
+    assert all(got[i].typical > 0.9 for i in range(200)) and got[900].typical == got[901].typical == 0
+    assert langid.identify(df.where("false"), model).count() == 0
+    again = langid.identify(df.where("doc_id = 3").union(df.where("doc_id = 3")), model).collect()
+    assert len(again) == 2 and again[0] == again[1] == got[3]
+    long = spark.createDataFrame([(1, LANGS["de"] * 20_000)], "doc_id long, text string")
+    assert langid.identify(long, model).first().lang_pred == "de"
     held = {r.doc_id: r.h for r in df.select("doc_id", langid.held_out("doc_id").alias("h")).collect()}
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200)) and held[None] is False
 
