@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from sedimenta.llm import decontam, langid, neardup, packing, passages
 from sedimenta.llm.shared import documents, stored
 
-LEAST_SCORE = 0.1
-"""Language scores below it are no language that was learned."""
+LEAST_TYPICAL = 0.75
+"""Texts whose nearness to a learned language is a smaller multiple of the least that labelled ones of their size have are of none."""
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; without letters, or unlike all of them, they go,
     and so do null and empty texts. Repeated rows are judged alike."""
-    model = langid.train(docs, F.lit(True))
-    return langid.identify(docs, model).where(F.col("lang_pred") != "und").where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no column's name clashes with the judgement's
+    at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text", "lang")}
+    model = langid.train(rows, F.lit(True), at["doc_id"], at["text"], at["lang"])
+    judged = langid.identify(rows, model, text_col=at["text"])
+    kept = judged.where(F.col("lang_pred") != "und").where(F.col("typical") >= LEAST_TYPICAL)
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
