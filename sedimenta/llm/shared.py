@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +13,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.session import scratch_dir as shared_dir
+from sedimenta.sources.files import Files
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing."""
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends here and lost executors cost nothing.
+    Within a workspace the table goes when that ends, unless it is to be kept."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, own = f"{shared_dir(spark)}/tables", f"{name}-{uuid.uuid4().hex}"
+    if not keep and (made := _tables.get()) is not None:
+        made.append(own)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{own}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{own}")
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end, also after a failure, the tables that were stored within and are not kept. No
+    DataFrame that reads them may be used later, so the result is stored with keep before the end."""
+    made: list[str] = []
+    token = _tables.set(made)
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+        files = Files(spark, f"{shared_dir(spark)}/tables")
+        for own in made:
+            files.fs.delete(files.path(own), True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
