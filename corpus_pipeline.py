@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import decontam, langid, neardup, packing, passages
-from sedimenta.llm.shared import documents, stored
+from sedimenta.llm.shared import documents, stored, workspace
 
 LEAST_TYPICAL = 0.75
 """Texts whose nearness to a learned language is a smaller multiple of the least that labelled ones of their size have are of none."""
@@ -66,7 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage stored for itself is removed once its result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with workspace(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
