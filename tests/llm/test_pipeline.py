@@ -1,9 +1,11 @@
+import os
 import random
 
 from fixtures import documents, prose
 
 import corpus_pipeline
 from sedimenta.llm.shared import stored
+from sedimenta.session import scratch_dir
 
 
 def test_stages(spark, tmp_path):
@@ -28,6 +30,13 @@ def test_stages(spark, tmp_path):
     assert all(cut[i].text == t for i, t in rows if i < 12)
     assert set(seen["decontaminate"]) == set(cut) - {40}
     assert set(seen["pack"]) == set(seen["decontaminate"])
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    tables = f"{scratch_dir(spark)}/tables"
+    before = set(os.listdir(tables))
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in whole.collect()} == set(seen["pack"])
+    left = {x.rpartition("-")[0] for x in set(os.listdir(tables)) - before}
+    assert left == {"language", "near_dedup", "substring_dedup", "decontaminate", "pieces"}
 
 
 def test_language_goes_by_likeness(spark, tmp_path):
