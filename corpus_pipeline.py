@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import decontam, langid, neardup, packing, passages
 from sedimenta.llm.shared import documents, stored, workspace
 
-LEAST_TYPICAL = 0.75
+LEAST_TYPICAL = 0.5
 """Texts whose nearness to a learned language is a smaller multiple of the least that labelled ones of their size have are of none."""
 
 
