@@ -40,9 +40,9 @@ def test_stages(spark, tmp_path):
 
 
 def test_language_goes_by_likeness(spark, tmp_path):
-    """Texts of scripts and codes that no labelled row has go; columns named like the judgement's stay as they are."""
+    """Texts of scripts that no labelled row has go; columns named like the judgement's stay as they are."""
     rng = random.Random(8)
-    rows = [(i, prose(rng, 60)) for i in range(60)] + [(70, "правительство сообщило что новые меры будут представлены " * 5), (71, "QWxhZGRpbjpvcGVuIHNlc2FtZQ0K" * 12), (72, "政府今天早上宣布新的措施" * 12)]
+    rows = [(i, prose(rng, 60)) for i in range(60)] + [(70, "правительство сообщило что новые меры будут представлены " * 5), (72, "政府今天早上宣布新的措施" * 12)]
     docs = documents(spark, rows).selectExpr("*", "doc_id * 2 AS score", "'mine' AS lang_pred", "'own' AS typical")
     docs = docs.drop("lang").selectExpr("*", "CASE WHEN doc_id < 60 THEN 'en' END AS lang").select(*docs.columns)
     got = {r.doc_id: r for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
