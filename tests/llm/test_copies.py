@@ -305,6 +305,37 @@ def test_images(spark):
     assert media.copies(df.where("false")).count() == 0
 
 
+def linked(one, two):
+    """Whether two described pictures are copies, by all pairs of their corners."""
+    (at, words), (to, others) = ((a, w.astype(np.int64)) for a, w in (one, two))
+    sketch = lambda w, k: sum((w[:, (k + 1 + 2 * j) % media.WORDS] & 0xFF) << 8 * j for j in range(3))
+    met = np.zeros((len(words), len(others)), bool)
+    for k in range(media.WORDS):
+        met |= (words[:, k, None] == others[None, :, k]) & (np.bitwise_count(sketch(words, k)[:, None] ^ sketch(others, k)) <= media.MOST_BITS)
+    i, j = np.nonzero(met)
+    return media.consensus(at[i], to[j]) >= media.AGREE
+
+
+def test_large_groups_of_images_keep_every_link(spark, monkeypatch):
+    """90 copies that are cropped, darkened and noisy: links and classes are those of all pairs."""
+    rng, full = np.random.default_rng(5), media.scene(3)
+    some = []
+    for i in range(90):
+        y, x = rng.integers(0, 12, 2)
+        some.append(np.rint(np.clip(full[y : y + 60, x : x + 60] * rng.uniform(0.6, 1) + rng.normal(0, 2, (60, 60)), 0, 255)))
+    known = media.describe_all([x.astype(np.float32) for x in some])
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if linked(known[a], known[b])}
+    assert max(sum(i in p for p in want) for i in range(90)) > 40
+    got = {r.media_id: r for r in media.copies(spark.createDataFrame([(i, bytearray(media.png(x))) for i, x in enumerate(some)], "media_id long, media binary")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in want) for i in range(90)}
+    assert {i: r.class_id for i, r in got.items()} == roots(want, range(90))
+    block = lambda ids: media._Block(np.array(ids), [known[i][1].astype("<u4").tobytes() for i in ids], [known[i][0].astype("<f4").tobytes() for i in ids])
+    for most in (1 << 22, 5000, 1):
+        monkeypatch.setattr(media, "MOST_MET", most)
+        one, two = block(range(50)), block(range(50, 90))
+        assert sorted(media._links(one, one) + media._links(one, two) + media._links(two, two)) == sorted(want)
+
+
 def test_png_and_pnm():
     x = np.random.default_rng(1).integers(0, 256, (9, 7)).astype(float)
     assert (media.decode(media.png(x)) == x).all()
