@@ -22,6 +22,7 @@ from sedimenta.llm.shared import stored
 
 HEAD = 1 << 20
 FLUSH = 400_000
+"""Pre-tokens, as Arrow rows, that a worker holds before it gives them on."""
 _BANNED = (b"<|", b"\xc2\x85", b"\xc2\xa0", b"\xc4\xb0")
 _libs: dict = {}
 _added: dict[int, list[str]] = {}
@@ -111,43 +112,65 @@ def piece_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     """(h, occurrences, pieces) of every distinct pre-token."""
 
     def gather(batches):
-        seen: dict[int, int] = {}
-        texts: list[str] = []
-        lib = _lib(path)
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def merged():
+            t = pa.Table.from_batches(held).combine_chunks()
+            uniq, rep, which = _distinct(t.column("h").to_numpy().view(np.uint64))
+            n = np.zeros(len(uniq), np.int64)
+            np.add.at(n, which, t.column("n").to_numpy())
+            return pa.record_batch([pa.array(uniq.view(np.int64)), t.column("piece").combine_chunks().take(pa.array(rep)), pa.array(n)], ["h", "piece", "n"])
 
-        def flush():
-            out = pa.record_batch([pa.array(np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64)), pa.array(texts, pa.string()), pa.array(list(seen.values()), pa.int64())], ["h", "piece", "n"])
-            seen.clear()
-            texts.clear()
-            return out
+        def parts(b):
+            return (b.slice(i, 20_000) for i in range(0, b.num_rows, 20_000))
 
+        lib = _lib(path)
         for batch in batches:
             for b in textkit.slices(batch, "text"):
                 data, _, starts, ends, _, h = _split(b.column(0), lib)
                 uniq, rep, which = _distinct(h)
-                n = np.bincount(which, minlength=len(uniq)).tolist()
-                raw = data.tobytes()
-                for key, i, c in zip(uniq.tolist(), rep.tolist(), n, strict=True):
-                    if key in seen:
-                        seen[key] += c
-                    else:
-                        seen[key] = c
-                        texts.append(raw[starts[i] : ends[i]].decode())
-                if len(seen) > FLUSH:
-                    yield flush()
-        yield flush()
+                at, length = starts[rep], ends[rep] - starts[rep]
+                offs = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                piece = pa.StringArray.from_buffers(len(rep), pa.py_buffer(offs), pa.py_buffer(data[textkit.ragged(at, length)]))
+                held.append(pa.record_batch([pa.array(uniq.view(np.int64)), piece, pa.array(np.bincount(which, minlength=len(uniq)))], ["h", "piece", "n"]))
+                size += len(uniq)
+                if size > FLUSH:
+                    held = [merged()]
+                    size = held[0].num_rows
+                    if size > FLUSH // 2:
+                        yield from parts(held[0])
+                        held, size = [], 0
+        if held:
+            yield from parts(merged())
 
     def count(batches):
+        """Rows sorted by hash: those of one are summed, and its pieces counted."""
         lib = _lib(path)
+        last: list[pa.RecordBatch] = []
+
+        def counted(s, n):
+            e = lib.encode(s.column(1).to_pylist(), is_pretokenized=True, add_special_tokens=False)
+            k = np.bincount(np.array(e.word_ids, np.int64), minlength=s.num_rows)
+            return pa.record_batch([s.column(0), pa.array(n), pa.array(k)], ["h", "n", "k"])
+
         for b in batches:
-            for i in range(0, b.num_rows, 20_000):
-                s = b.slice(i, 20_000)
-                e = lib.encode(s.column(1).to_pylist(), is_pretokenized=True, add_special_tokens=False)
-                n = np.bincount(np.array(e.word_ids, np.int64), minlength=s.num_rows)
-                yield pa.record_batch([s.column(0), s.column(2), pa.array(n)], ["h", "n", "k"])
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*last, b]).combine_chunks()
+            h = t.column(0).to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.add.reduceat(t.column(2).to_numpy(), start)
+            s = pa.record_batch([t.column(c).combine_chunks().take(pa.array(start)) for c in range(2)] + [pa.array(n)], b.schema)
+            last = [s.slice(len(n) - 1)]
+            for i in range(0, len(n) - 1, 20_000):
+                m = min(20_000, len(n) - 1 - i)
+                yield counted(s.slice(i, m), n[i : i + m])
+        for s in last:
+            yield counted(s, s.column(2).to_numpy())
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "h long, piece string, n long")
-    return stored(found.groupBy("h").agg(F.first("piece").alias("piece"), F.sum("n").alias("n")).mapInArrow(count, "h long, n long, k long"), "pretokens")
+    return stored(found.repartition("h").sortWithinPartitions("h").mapInArrow(count, "h long, n long, k long"), "pretokens")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

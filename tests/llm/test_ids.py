@@ -155,3 +155,14 @@ def test_prose_is_varied():
     import random
 
     assert len(set(prose(random.Random(1), 100).split())) > 20
+
+
+def test_counts_in_small_parts(spark, monkeypatch):
+    """Pre-tokens that workers give on many times, and that meet again over many batches."""
+    monkeypatch.setattr(tokencount, "FLUSH", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(documents(spark).repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: len(WORD.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts())}
