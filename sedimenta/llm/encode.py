@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from sedimenta.llm import textkit
 
-MOST_PIECES = 1_500_000
+MOST_PIECES = 400_000
 """Pieces that a worker keeps at once; beyond it the table starts anew."""
 
 

@@ -166,3 +166,14 @@ def test_counts_in_small_parts(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: len(WORD.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts())}
+
+
+def test_pieces_start_anew(monkeypatch):
+    """A worker's table of pieces stays within its bound, and ids don't depend on it."""
+    made = encode.Encoder(encode.tokenizer_path("byte_bpe_50k.json"))
+    rows = [t or "" for t in texts()]
+    want = [made.lib.encode(t, add_special_tokens=False).ids for t in rows]
+    monkeypatch.setattr(encode, "MOST_PIECES", 300)
+    for t, ids in zip(rows, want, strict=True):
+        assert made(pa.array([t]))[0].tolist() == ids
+        assert len(made.keys) <= 300
