@@ -237,6 +237,50 @@ def test_passage_in_parts(spark):
         assert r.errors or split(own[r.doc_id])[r.start : r.end] == split(own[r.ref_id])[r.ref_start : r.ref_end]
 
 
+def test_edited_passage_in_parts(spark):
+    """As before, but the later copies are edited, so that none is a run of an earlier one; parts are frequent."""
+    rng, rows, where = random.Random(15), [], []
+    text = lambda *parts: " ".join(w for x in parts for w in [*own_words(rng, 40), *x, *own_words(rng, 40)])
+    lines = [own_words(rng, 22) for _ in range(6)]
+    for i, x in enumerate(lines * 5):
+        rows.append((i, text(x, ["so"] * 40)))
+    for n in range(20):
+        one, two, three = rng.sample(lines, 3)
+        whole = [*one, *two, *three] if n % 2 else [*one, *two, *own_words(rng, 25)]
+        for side in range(3):
+            copy = [f"edit{n}x{side}" if side and (i + 4 * side) % 12 == 11 else w for i, w in enumerate(whole)]
+            rows.append((1000 + 10 * n + side, text(copy)))
+        where += [1000 + 10 * n + side for side in (1, 2)]
+    found = passages.repeated_passages(documents(spark, rows)).collect()
+    for doc in where:
+        held = {x for r in found if r.doc_id == doc for x in range(r.start, r.end)}
+        assert len(held & set(range(40, 106))) >= 55
+    assert all(r.end - r.start >= 50 and r.errors <= 0.2 * (r.end - r.start) and r.ref_id < r.doc_id for r in found)
+
+
+def test_joints_against_brute_force():
+    rng = random.Random(16)
+    for _ in range(60):
+        docs = []
+        for _ in range(rng.randrange(1, 4)):
+            docs.append(sorted((p, *rng.choice([(1, 0), (1, 9), (1, 90), (2, 4), (2, 200), (3, 0)])) for p in rng.sample(range(400), rng.randrange(1, 60))))
+        rows = [(n, *x) for n, own in enumerate(docs) for x in own]
+        doc, pos, ref, rpos = (np.array(x, np.int64) for x in zip(*rows))
+        kept = passages.turning(doc, pos, ref, rpos)
+        none = np.zeros((0, 2), np.int64)
+        key, p, q, free = passages.joints((doc[kept] << 32) + pos[kept], ref[kept], rpos[kept], none, none)
+        want = set()
+        for n, own in enumerate(docs):
+            for i, (a, *x) in enumerate(own):
+                for j, (z, *y) in enumerate(own[i + 1 :], i + 1):
+                    near = x[0] == y[0] and 0 < y[1] - x[1] <= passages.REACH
+                    between = [o[1:] for o in own[i + 1 : j]]
+                    if z - a <= passages.REACH and x != y and not near and tuple(x) not in between and tuple(y) not in between:
+                        want.add((n, a, z, *x, *y))
+        assert {(int(x >> 32), int(x & 0xFFFFFFFF), int(y & 0xFFFFFFFF)) for x, y in zip(p, q)} == {x[:3] for x in want} and free.all()
+        assert len(p) == len(want) and len({(int(k), *x[3:]) for k, x in zip(key, [next(w for w in want if w[:3] == (int(a >> 32), int(a & 0xFFFFFFFF), int(z & 0xFFFFFFFF))) for a, z in zip(p, q)])}) == len(set(key.tolist()))
+
+
 def test_passage_twice_in_a_document(spark):
     """Copies with an edit every 16 words: the second in a document, and one behind stray uses of its words."""
     rng, rows = random.Random(14), []
