@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm import textkit
-from sedimenta.llm.shared import bloom, components, in_bloom, stored
+from sedimenta.llm.shared import bloom, components, in_bloom, lean, stored
 
 U = np.uint64
 FIRST = 8
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, k: int, table: np.ndarray, bands: int, rows: i
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(band[some].reshape(-1).view(np.int64)))
                 yield pa.record_batch([s.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), lists, pa.FixedSizeListArray.from_arrays(pa.array(digest.reshape(-1)), m).cast(pa.list_(pa.int8()))], ["id", "n", "a", "b", "bands", "digest"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, bands array<long>, digest array<byte>")
+    return docs.mapInArrow(lean(run), "id long, n long, a long, b long, bands array<long>, digest array<byte>")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int, m: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float, num: int, den: int
                     keep = pa.array((du == dv).mean(1) >= least)
                     yield pa.record_batch([s.column(0).filter(keep), s.column(1).filter(keep)], ["u", "v"])
 
-    return both.select("u", "v", "du", "dv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "du", "dv").mapInArrow(lean(run), "u long, v long")
 
 
 def _possible(num: int, den: int) -> Column:
@@ -158,7 +158,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, table: np.ndarray) -> DataFra
                 e, offs = shingles(s.column(1), k, table)
                 yield pa.record_batch([s.column(0), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(e.view(np.int64)))], ["id", "set"])
 
-    return stored(docs.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi"), "sets")
+    return stored(docs.mapInArrow(lean(run), "id long, set array<long>").join(ids, "id", "left_semi"), "sets")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             hit = in_bloom(shared.value, bands.flatten().to_numpy().view(U)) if b.num_rows else np.zeros(0, bool)
             yield b.filter(pa.array(hit.reshape(b.num_rows, -1).any(1)) if b.num_rows else pa.array([], pa.bool_()))
 
-    return nodes.mapInArrow(run, "n long, a long, b long, id long, bands array<long>, digest array<byte>")
+    return nodes.mapInArrow(lean(run), "n long, a long, b long, id long, bands array<long>, digest array<byte>")
 
 
 def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     x, z = sets.select("id", F.col("set").alias("sx")), sets.select(F.col("id").alias("ref"), F.col("set").alias("sz"))
     both = pairs.join(x, "id").join(z, "ref").select("id", "ref", "sx", "sz")
-    return stored(both.mapInArrow(run, "id long, ref long, size long, lacks long, more long, mask array<long>"), "against")
+    return stored(both.mapInArrow(lean(run), "id long, ref long, size long, lacks long, more long, mask array<long>"), "against")
 
 
 def _side(rows: DataFrame, t: str) -> DataFrame:

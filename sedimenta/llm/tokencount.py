@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import textkit
 from sedimenta.llm.encode import _N, _SPACE, _L, _LINE, _after, _tokenizer, classes, odd_texts, tokenizer_path
-from sedimenta.llm.shared import stored
+from sedimenta.llm.shared import lean, stored
 
 HEAD = 1 << 20
 FLUSH = 400_000
@@ -169,8 +169,8 @@ def piece_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
         for s in last:
             yield counted(s, s.column(2).to_numpy())
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "h long, piece string, n long")
-    return stored(found.repartition("h").sortWithinPartitions("h").mapInArrow(count, "h long, n long, k long"), "pretokens")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(gather), "h long, piece string, n long")
+    return stored(found.repartition("h").sortWithinPartitions("h").mapInArrow(lean(count), "h long, n long, k long"), "pretokens")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +220,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
                 row += b.num_rows
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frequencies, f"row long, id {kind}, n_bytes long, known long, tail array<struct<h:long,f:long>>"), "frequencies")
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(frequencies), f"row long, id {kind}, n_bytes long, known long, tail array<struct<h:long,f:long>>"), "frequencies")
     tail = rows.select("row", F.inline("tail")).join(known.where(F.floor(F.log2("n")).cast("int") < least).select("h", "k"), "h")
     more = tail.groupBy("row").agg(F.sum(F.col("k") * F.col("f")).alias("more"))
     n = F.col("known") + F.coalesce("more", F.lit(0))
