@@ -29,24 +29,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*rows.columns).toDF(*docs.columns)
 
 
+def _settled(spark: SparkSession, find: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of find(), stored: what a stage decides, not its documents. The tables made on the way are removed."""
+    with workspace(spark):
+        return stored(find(), name, keep=True)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id. Null, empty and
     wordless texts are near nothing and stay; all rows of an id that stays stay."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = _settled(spark, lambda: neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of at least 50 words that an earlier one has. A document of
     nothing else goes; null texts stay, and rows of one id are cut alike."""
-    return passages.without_passages(docs, passages.repeated_passages(docs)).select(*docs.columns)
+    found = _settled(spark, lambda: passages.repeated_passages(docs), "repeated")
+    return passages.without_passages(docs, found).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no 8-word window of a benchmark item. Null and wordless texts hold none
     and stay; all rows of an id go if one does."""
-    found = decontam.contamination(docs, documents(spark, sf_dir, "benchmark"), least_items=1)
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    find = lambda: decontam.contamination(docs, documents(spark, sf_dir, "benchmark"), least_items=1)
+    gone = _settled(spark, lambda: find().where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

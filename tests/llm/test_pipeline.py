@@ -39,6 +39,18 @@ def test_stages(spark, tmp_path):
     assert left == {"language", "near_dedup", "substring_dedup", "decontaminate", "pieces"}
 
 
+def test_stages_leave_what_they_decide(spark, tmp_path):
+    """Also outside of run(): a stage's own tables go, but for the ids or passages that its result reads."""
+    rng = random.Random(9)
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [(i, prose(rng, 90)) for i in range(12)])
+    tables = f"{scratch_dir(spark)}/tables"
+    for stage, name in ((corpus_pipeline.near_dedup, "copies"), (corpus_pipeline.substring_dedup, "repeated"), (corpus_pipeline.decontaminate, "contaminated")):
+        before = set(os.listdir(tables))
+        assert stage(spark, docs, str(tmp_path)).count() == 12
+        assert [x.rpartition("-")[0] for x in set(os.listdir(tables)) - before] == [name]
+
+
 def test_language_goes_by_likeness(spark, tmp_path):
     """Texts of scripts that no labelled row has go; columns named like the judgement's stay as they are."""
     rng = random.Random(8)
