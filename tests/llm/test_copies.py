@@ -281,6 +281,51 @@ def test_joints_against_brute_force():
         assert len(p) == len(want) and len({(int(k), *x[3:]) for k, x in zip(key, [next(w for w in want if w[:3] == (int(a >> 32), int(a & 0xFFFFFFFF), int(z & 0xFFFFFFFF))) for a, z in zip(p, q)])}) == len(set(key.tolist()))
 
 
+def test_larger_sets_against_brute_force():
+    rng = random.Random(17)
+    for _ in range(60):
+        size, some = rng.randrange(2, 5), {}
+        for _ in range(rng.randrange(30)):
+            own = tuple((p, -p) for p in sorted(rng.sample(range(7), size)))
+            some[own] = (own, rng.random() < 0.3, rng.randrange(3), tuple(p + rng.choice([0, 0, 0, 50]) for p, _ in own))
+        want: dict = {}
+        for one in some.values():
+            for two in some.values():
+                both = sorted({*one[0], *two[0]})
+                place = lambda x: {s: (x[2], at) for s, at in zip(x[0], x[3])}
+                if len(both) == size + 1 and any(place(one)[s] != place(two)[s] for s in one[0] if s in two[0]):
+                    want[tuple(both)] = want.get(tuple(both), False) or one[1] or two[1]
+        assert passages.larger(list(some.values()), 1 << 16) == want
+        assert not want or passages.larger(list(some.values()), 0) is None
+
+
+def test_frequent_joints_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Two frequent lines side by side in otherwise different documents, and edited copies that no first occurrence of
+    joints holds: pairs grow with the documents, and the copies are found, also where sets of seeds are too many."""
+    rng, rows, where = random.Random(18), [], []
+    text = lambda *parts: " ".join(w for x in parts for w in [*own_words(rng, 40), *x])
+    lines = [own_words(rng, 20) for _ in range(4)]
+    rows += [(i, text(x, ["so"] * 20)) for i, x in enumerate(lines)]
+    rows += [(10 + i, text([*lines[i % 4], *lines[(i // 4 + 1 + i) % 4]], ["so"] * 20)) for i in range(120)]
+    for n in range(8):
+        whole = [*(rng.sample(lines, 3)[0]), *rng.choice(lines), *rng.choice(lines), *own_words(rng, 12)]
+        for side in range(2):
+            copy = [f"edit{n}x{side}" if (i + 4 * side) % 12 == 11 else w for i, w in enumerate(whole)]
+            rows.append((1000 + 10 * n + side, text(copy, own_words(rng, 40))))
+        where.append(1001 + 10 * n)
+    made, real = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name, *a: made.append((name, real(df, name, *a))) or made[-1][1])
+    for most in (passages.MOST_SETS, 0):
+        monkeypatch.setattr(passages, "MOST_SETS", most)
+        made.clear()
+        found = passages.repeated_passages(documents(spark, rows)).collect()
+        for doc in where:
+            held = {x for r in found if r.doc_id == doc for x in range(r.start, r.end)}
+            assert len(held & set(range(40, 112))) >= 55
+        pairs = [df.count() for name, df in made if name == "pairs"]
+        assert len(pairs) == 1 and (most == 0 or 0 < pairs[0] < 6 * len(rows))
+
+
 def test_passage_twice_in_a_document(spark):
     """Copies with an edit every 16 words: the second in a document, and one behind stray uses of its words."""
     rng, rows = random.Random(14), []
