@@ -234,12 +234,12 @@ class _Block:
     def __init__(self, nodes: np.ndarray, words: list[bytes], at: list[bytes]):
         self.nodes = nodes
         self.n = np.array([len(x) // (4 * WORDS) for x in words], np.int64)
-        self.owner = np.repeat(np.arange(len(nodes)), self.n)
+        self.owner = np.repeat(np.arange(len(nodes), dtype=np.int32), self.n)
         self.words = np.frombuffer(b"".join(words), "<u4").reshape(-1, WORDS)
         self.at = np.frombuffer(b"".join(at), "<f4").reshape(-1, 4)
-        low = self.words & 0xFF
-        self.sketch = np.stack([sum(low[:, (w + 1 + 2 * j) % WORDS] << 8 * j for j in range(3)) for w in range(WORDS)])
-        self._order: list[tuple[np.ndarray, np.ndarray]] = []
+        low = self.words & np.uint32(0xFF)
+        self.sketch = np.stack([sum(low[:, (w + 1 + 2 * j) % WORDS] << np.uint32(8 * j) for j in range(3)) for w in range(WORDS)])
+        self._order: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def half(self, second: bool) -> _Block:
         """The first or second half of the images."""
@@ -247,15 +247,18 @@ class _Block:
         own, c = (slice(m, None), slice(int(self.n[:m].sum()), None)) if second else (slice(m), slice(int(self.n[:m].sum())))
         out = object.__new__(_Block)
         out.nodes, out.n, out._order = self.nodes[own], self.n[own], []
-        out.owner = np.repeat(np.arange(len(out.nodes)), out.n)
+        out.owner = np.repeat(np.arange(len(out.nodes), dtype=np.int32), out.n)
         out.words, out.at, out.sketch = self.words[c], self.at[c], self.sketch[:, c]
         return out
 
-    def table(self, w: int) -> tuple[np.ndarray, np.ndarray]:
-        """The Hamming table of a word: its sorted values, and their corners."""
+    def table(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The Hamming table of a word: its sorted values, their corners, and the corners' sketches."""
         if not self._order:
-            by = [np.argsort(self.words[:, k], kind="stable") for k in range(WORDS)]
-            self._order = [(self.words[i, k], i) for k, i in enumerate(by)]
+            number = np.arange(len(self.words), dtype=np.uint64)
+            for k in range(WORDS):  # sorting numbers is faster than sorting places by them
+                by = np.sort(self.words[:, k].astype(np.uint64) << np.uint64(32) | number)
+                at = (by & np.uint64(0xFFFFFFFF)).astype(np.int32)
+                self._order.append(((by >> np.uint64(32)).astype(np.uint32), at, self.sketch[k][at]))
         return self._order[w]
 
 
@@ -265,9 +268,11 @@ def _links(a: _Block, b: _Block) -> list[tuple[int, int]]:
         return []
     found = []
     for w in range(WORDS):
-        (x, i), (y, _) = a.table(w), b.table(w)
+        (x, _, _), (y, _, _) = a.table(w), b.table(w)
         lo = np.searchsorted(y, x, "left")
-        found.append((i, lo, np.searchsorted(y, x, "right") - lo))
+        has = np.flatnonzero(y[np.minimum(lo, len(y) - 1)] == x)
+        lo = lo[has]
+        found.append((has, lo, np.searchsorted(y, x[has], "right") - lo))
     met = sum(int(n.sum()) for _, _, n in found)
     if met > MOST_MET and max(len(a.nodes), len(b.nodes)) > 1:
         if a is b:
@@ -276,23 +281,28 @@ def _links(a: _Block, b: _Block) -> list[tuple[int, int]]:
         if len(a.nodes) >= len(b.nodes):
             return _links(a.half(False), b) + _links(a.half(True), b)
         return _links(a, b.half(False)) + _links(a, b.half(True))
-    left, right, width = [], [], len(b.nodes)
-    for w, (i, lo, n) in enumerate(found):
+    left, right, width = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.int32(len(b.nodes))  # a block has BLOCK images at most
+    for w, (has, lo, n) in enumerate(found):
+        (_, i, one), (_, j, two) = a.table(w), b.table(w)
         cut = np.searchsorted(np.cumsum(n), np.arange(MOST_MET, int(n.sum()) + MOST_MET, MOST_MET), "right")
         for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(n)]):
-            j = b.table(w)[1][textkit.ragged(lo[s:e], n[s:e])]
-            k = np.repeat(i[s:e], n[s:e])
-            same = np.bitwise_count(a.sketch[w][k] ^ b.sketch[w][j]) <= MOST_BITS
+            to = textkit.ragged(lo[s:e], n[s:e])
+            same = np.flatnonzero(np.bitwise_count(np.repeat(one[has[s:e]], n[s:e]) ^ two[to]) <= MOST_BITS)
+            k, to = np.repeat(i[has[s:e]], n[s:e])[same], j[to[same]]
             if a is b:
-                same &= a.owner[k] < a.owner[j]
-            left.append(k[same])
-            right.append(j[same])
+                once = a.owner[k] < a.owner[to]
+                k, to = k[once], to[once]
+            left.append(k)
+            right.append(to)
     i, j = np.concatenate(left), np.concatenate(right)
     pair = a.owner[i] * width + b.owner[j]
-    some = np.bincount(pair, minlength=len(a.nodes) * width)[pair] >= AGREE
-    code = np.unique(i[some] * len(b.words) + j[some])  # a match once, however many words it has in common
+    by, often = np.sort(pair), np.zeros(len(a.nodes) * len(b.nodes), bool)
+    often[by[AGREE - 1 :][by[AGREE - 1 :] == by[: max(len(by) - AGREE + 1, 0)]]] = True
+    some = np.flatnonzero(often[pair])
+    code = np.sort(i[some].astype(np.int64) * len(b.words) + j[some])
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code  # a match once, however many words it has in common
     i, j = np.divmod(code, len(b.words))
-    pair = a.owner[i] * width + b.owner[j]
+    pair = a.owner[i].astype(np.int64) * width + b.owner[j]
     # matches that agree are of one ratio of scales and within two steps of one turn
     x, y = a.at[i], b.at[j]
     ratio = (x[:, 2] - y[:, 2]).astype(np.int64) + len(SCALES) - 1
@@ -352,6 +362,7 @@ def _copied(points: DataFrame, images: int) -> DataFrame:
                 if len(known) > 3:
                     known.pop(next(iter(known)))
                 known[number] = _Block(np.array(b.column(first + 1)[row].values), b.column(first + 2)[row].as_py(), b.column(first + 3)[row].as_py())
+            known[number] = known.pop(number)  # the one not used for longest goes first
             return known[number]
 
         for b in batches:

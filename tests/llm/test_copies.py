@@ -425,6 +425,23 @@ def test_large_groups_of_images_keep_every_link(spark, monkeypatch):
         assert sorted(media._links(one, one) + media._links(one, two) + media._links(two, two)) == sorted(want)
 
 
+def test_hamming_tables_and_crowded_buckets():
+    """Tables are in the order of a word, with 32-bit places and sketches; a bucket that holds every corner keeps all links."""
+    rng = np.random.default_rng(8)
+    at = np.array([[9.0 * k, 40 - 7 * (k % 3), 0, 0] for k in range(6)])
+    words = np.tile(rng.integers(0, 1 << 32, (6, media.WORDS), dtype=np.uint32), (40, 1, 1))
+    words[:, :, 0] = 5  # the same in all corners of all images
+    words[20:, :, 1:] = rng.integers(0, 1 << 32, (20, 6, media.WORDS - 1), dtype=np.uint32)
+    known = [(at, w) for w in words]
+    block = media._Block(np.arange(40), [w.astype("<u4").tobytes() for w in words], [at.astype("<f4").tobytes()] * 40)
+    for w in range(media.WORDS):
+        value, i, sketch = block.table(w)
+        assert (i == np.argsort(block.words[:, w], kind="stable")).all() and (value == block.words[i, w]).all() and (sketch == block.sketch[w][i]).all()
+        assert {i.dtype, sketch.dtype, block.owner.dtype} <= {np.dtype(np.int32), np.dtype(np.uint32)}
+    want = [(a, b) for a in range(40) for b in range(a + 1, 40) if linked(known[a], known[b])]
+    assert sorted(media._links(block, block)) == want and len(want) >= 190
+
+
 def test_png_and_pnm():
     x = np.random.default_rng(1).integers(0, 256, (9, 7)).astype(float)
     assert (media.decode(media.png(x)) == x).all()
