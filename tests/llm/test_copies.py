@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from fixtures import documents, prose, texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -326,6 +327,36 @@ def test_frequent_joints_are_not_compared_pair_by_pair(spark, monkeypatch):
         assert len(pairs) == 1 and (most == 0 or 0 < pairs[0] < 6 * len(rows))
 
 
+def test_equal_stretches_give_larger_sets_once(spark, monkeypatch):
+    """Documents with the same short lines in a row, each two of which first occurred elsewhere: however many they are,
+    their larger sets are made once, and all meet the first of them."""
+    made, real = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name, *a: made.append((name, real(df, name, *a))) or made[-1][1])
+    larger = []
+    for copies in (4, 16):
+        rng = random.Random(19)
+        text = lambda *parts: " ".join(w for x in parts for w in [*own_words(rng, 8), *x])
+        some = [own_words(rng, 5) for _ in range(4000)]
+        _, _, doc, h = textkit.words(*textkit.utf8(pa.array([" ".join(x) for x in some])), textkit.ALNUM)
+        lines = [some[i] for i in np.argsort(textkit.doc_grams(h, doc, passages.K)[0])[:5]]  # so small that each is a seed wherever it stands
+        rows = [(i, text(x)) for i, x in enumerate(lines)]
+        rows += [(10 + 5 * i + j, text(lines[i], lines[j])) for i in range(5) for j in range(i + 1, 5)]
+        made.clear()
+        passages.repeated_passages(documents(spark, [*rows, *((100 + n, text(*lines)) for n in range(copies))])).collect()
+        larger.append(sum(df.count() for name, df in made if name == "sets" and "many" in df.columns))
+        pairs = {tuple(r) for name, df in made if name == "pairs" for r in df.collect()}
+        assert {(100 + n, 100) for n in range(1, copies)} <= pairs
+    assert larger[0] == larger[1] > 0
+
+
+def test_stretches():
+    one = [(((3, 7), (9, 8)), 1, True), (((9, 8), (30, 5)), 2, False), (((90, 7), (99, 8)), 1, True)]
+    two = [(((x[0][0][0] + 40, x[0][0][1]), (x[0][1][0] + 41, x[0][1][1])), *x[1:]) for x in one[2:]]
+    digests, begins = passages.stretches(one)
+    assert begins == [3, 3, 90] and digests[0] == digests[1] != digests[2] == passages.stretches(two)[0][0]
+    assert passages.stretches([one[0]])[0][0] == digests[2] != passages.stretches([(*one[0][:2], False)])[0][0]
+
+
 def test_passage_twice_in_a_document(spark):
     """Copies with an edit every 16 words: the second in a document, and one behind stray uses of its words."""
     rng, rows = random.Random(14), []
