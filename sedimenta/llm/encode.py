@@ -15,7 +15,7 @@ import pyarrow as pa
 from sedimenta.llm import textkit
 
 MOST_PIECES = 400_000
-"""Pieces that a worker keeps at once; beyond it the table starts anew."""
+"""Pieces that a worker keeps at once; beyond it those go that weren't met again."""
 
 
 def tokenizer_path(name: str) -> str:
@@ -105,12 +105,18 @@ class Encoder:
 
     def __init__(self, path: str):
         self.lib = _tokenizer(path)
-        self._clear()
-
-    def _clear(self):
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.flat = self.pool[0]
+        self.met = np.zeros(0, bool)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _forget(self):
+        """Only pieces stay that were met since the last time, in another slice than their first; none if they fill over half of the table."""
+        keep = np.flatnonzero(self.met)
+        if len(keep) > MOST_PIECES // 2:
+            keep = keep[:0]
+        self.flat = self.flat[textkit.ragged(self.at[keep], self.n[keep])]
+        self.keys, self.n, self.met = self.keys[keep], self.n[keep], np.zeros(len(keep), bool)
+        self.at = np.cumsum(self.n) - self.n
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         ids, counts = [], []
@@ -122,7 +128,15 @@ class Encoder:
         at = len(self.flat) + np.cumsum(n) - n
         self.flat = np.concatenate([self.flat, *ids])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = (np.insert(x, where, y) for x, y in ((self.keys, keys), (self.at, at), (self.n, n)))
+        self.keys, self.at, self.n, self.met = (np.insert(x, where, y) for x, y in ((self.keys, keys), (self.at, at), (self.n, n), (self.met, False)))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the table, whether they aren't there) of keys."""
+        pos = np.searchsorted(self.keys, keys)
+        miss = np.ones(len(keys), bool)
+        inside = pos < len(self.keys)
+        miss[inside] = self.keys[pos[inside]] != keys[inside]
+        return pos, miss
 
     def __call__(self, col: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text); `end` is put after each text."""
@@ -146,12 +160,11 @@ class Encoder:
             uniq, rep = s[new], order[new]
             which = np.empty(len(h), np.int64)
             which[order] = np.cumsum(new) - 1
-            if len(self.keys) + len(uniq) > MOST_PIECES:
-                self._clear()
-            pos = np.searchsorted(self.keys, uniq)
-            miss = np.ones(len(uniq), bool)
-            inside = pos < len(self.keys)
-            miss[inside] = self.keys[pos[inside]] != uniq[inside]
+            pos, miss = self._find(uniq)
+            self.met[pos[~miss]] = True
+            if len(self.keys) + np.count_nonzero(miss) > MOST_PIECES:
+                self._forget()
+                pos, miss = self._find(uniq)
             if miss.any():
                 raw = data.tobytes()
                 self._learn(uniq[miss], [raw[a:b].decode() for a, b in zip(starts[rep[miss]].tolist(), ends[rep[miss]].tolist())])

@@ -179,6 +179,20 @@ def test_pieces_start_anew(monkeypatch):
         assert len(made.keys) <= 300
 
 
+def test_frequent_pieces_stay(monkeypatch):
+    """Words of every text are learned once, however many others fill the table."""
+    monkeypatch.setattr(encode, "MOST_PIECES", 300)
+    made, learned = encode.Encoder(encode.tokenizer_path("byte_bpe_50k.json")), []
+    learn = made._learn
+    monkeypatch.setattr(made, "_learn", lambda keys, pieces: learned.extend(pieces) or learn(keys, pieces))
+    common = [f"common{chr(97 + i)}" for i in range(20)]
+    for n in range(30):
+        text = " ".join([*common, *(f"rare{chr(97 + n % 26)}{chr(97 + i % 26)}{'x' * (i // 26 + n // 26 * 9)}" for i in range(60))])
+        flat, _ = made(pa.array([text]), 7)
+        assert flat.tolist() == ids(text, 7) and len(made.keys) <= 300
+    assert all(sum(p.strip() == w for p in learned) == 1 for w in common)
+
+
 def test_workers_give_memory_back():
     """What a function of batches has freed isn't held by the allocator below a block that lives on."""
     from sedimenta.llm.shared import lean
