@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ from fixtures import documents, prose, texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sedimenta.llm import decontam, media, neardup, passages, textkit
+from sedimenta.llm import decontam, media, neardup, passages, shared, textkit
 from sedimenta.llm.shared import components
 
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -349,6 +350,30 @@ def test_equal_stretches_give_larger_sets_once(spark, monkeypatch):
     assert larger[0] == larger[1] > 0
 
 
+def test_rounds_of_larger_sets_are_not_in_one_plan(spark, monkeypatch):
+    """Texts of the same short lines in a row and all shorter rows of them apart: several rounds of larger sets. The plan of
+    all pairs reads a table of each round, and what a round made and nothing reads again goes within a workspace."""
+    plans, real = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name, *a: (plans.append((name, df._jdf.queryExecution().toString())), real(df, name, *a))[1])
+    rng = random.Random(19)
+    text = lambda *parts: " ".join(w for x in parts for w in [*own_words(rng, 8), *x])
+    some = [own_words(rng, 5) for _ in range(4000)]
+    _, _, doc, h = textkit.words(*textkit.utf8(pa.array([" ".join(x) for x in some])), textkit.ALNUM)
+    lines = [some[i] for i in np.argsort(textkit.doc_grams(h, doc, passages.K)[0])[:5]]
+    rows = [(i, text(x)) for i, x in enumerate(lines)]
+    rows += [(10 + 5 * i + j, text(lines[i], lines[j])) for i in range(5) for j in range(i + 1, 5)]
+    rows += [(100 + n, text(*lines)) for n in range(4)]
+    want = sorted(passages.repeated_passages(documents(spark, rows)).collect())
+    assert sum(name == "stretches" for name, _ in plans) > 1
+    assert [plan.count("Join") for name, plan in plans if name == "pairs"] == [0]
+    folder = Path(shared.shared_dir(spark)) / "tables"
+    before = set(folder.iterdir())
+    with shared.workspace(spark):
+        got = shared.stored(passages.repeated_passages(documents(spark, rows)), "got", keep=True)
+        assert not {f.name.split("-")[0] for f in set(folder.iterdir()) - before} & {"heads", "stretches", "sets", "joints", "pairs", "runs"}
+    assert sorted(got.collect()) == want
+
+
 def test_stretches():
     one = [(((3, 7), (9, 8)), 1, True), (((9, 8), (30, 5)), 2, False), (((90, 7), (99, 8)), 1, True)]
     two = [(((x[0][0][0] + 40, x[0][0][1]), (x[0][1][0] + 41, x[0][1][1])), *x[1:]) for x in one[2:]]
