@@ -29,6 +29,14 @@ class Files:
     def path(self, name: str):
         return self._path(f"{self.root}/{name}")
 
+    def uri(self) -> str:
+        """The folder with its scheme."""
+        return self.fs.makeQualified(self._path(self.root)).toUri().toString()
+
+    def any(self, pattern: str) -> bool:
+        """Whether the folder has a file like this; names stay in the JVM, since there may be many."""
+        return len(self.fs.globStatus(self.path(pattern)) or ()) > 0
+
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
 
@@ -73,4 +81,4 @@ class Files:
         self.fs.delete(self.path(name), True)
 
     def mkdirs(self, name: str) -> None:
-        self.fs.mkdirs(self.path(name))
+        self.fs.mkdirs(self.path(name) if name else self._path(self.root))

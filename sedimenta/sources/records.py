@@ -11,11 +11,14 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.model import MAX_FIELD
+from sedimenta.sources import remote
 from sedimenta.sources.files import Files
 
 PUT, DELETE = 1, 0
@@ -89,13 +92,54 @@ def read_sorted_files(spark: SparkSession, path: str, pattern: str = "*.sst") ->
 
 def write_files(rows: DataFrame, path: str, tail: bytes = b"") -> int:
     """Byte-format files of rows (file, ord, record): one for each name, its records in order and `tail` behind.
-    Each is put together on an executor, so it must fit there, as a write buffer does; names and bytes
-    pass the driver one partition at a time. The number of files."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "record")))
-    whole = F.unhex(F.array_join(F.transform(ordered, lambda r: F.hex(r["record"])), ""))
-    files, n = Files(rows.sparkSession, path), 0
-    for r in rows.groupBy("file").agg(whole.alias("content")).toLocalIterator():
-        if not files.create(r.file, bytes(r.content) + tail):
-            raise FileExistsError(r.file)
-        n += 1
-    return n
+    Each is put together on an executor, so it must fit there, as a write buffer does, and written there if the
+    executors reach the file system; else names and bytes pass the driver one partition at a time. A name that is
+    taken by other bytes is an error. The number of files."""
+    files, ordered = Files(rows.sparkSession, path), rows.select("file", "ord", F.col("record").cast("binary").alias("record")).repartition("file").sortWithinPartitions("file", "ord")
+    whole = ordered.select("file", "record").mapInArrow(_whole_files(tail), "file string, content binary")
+    uri = files.uri()
+    if not remote.reaches(uri):
+        n = 0
+        for r in whole.toLocalIterator():
+            if not files.create(r.file, bytes(r.content)):
+                raise FileExistsError(r.file)
+            n += 1
+        return n
+    files.mkdirs("")
+
+    def put(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not remote.create(uri, name, content.as_buffer()):
+                    raise FileExistsError(name)
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return whole.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _whole_files(tail: bytes):
+    """The bytes of each file, of sorted rows (file, record): one at a time, so that a task holds one."""
+
+    def out(name: str, parts: list[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([name], pa.string()), pa.array([b"".join([*parts, tail])], pa.binary())], ["file", "content"])
+
+    def run(batches):
+        held, parts = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = pc.run_end_encode(b.column(0)).run_ends.to_pylist()
+            record = b.column(1)
+            at = np.frombuffer(record.buffers()[1], np.int64 if pa.types.is_large_binary(record.type) else np.int32)[record.offset :]
+            raw = memoryview(record.buffers()[2] or b"")
+            for start, end in zip([0, *ends], ends):
+                name = b.column(0)[start].as_py()
+                if held not in (None, name):
+                    yield out(held, parts)
+                    parts = []
+                held = name
+                parts.append(bytes(raw[at[start] : at[end]]))
+        if held is not None:
+            yield out(held, parts)
+
+    return run

@@ -102,10 +102,9 @@ class Store:
         """A new store from a folder of byte-format files without a manifest: sorted files by their ids,
         then log files by theirs; later ids are newer."""
         store = cls.create(spark, path, config)
-        kinds = [("*.sst", ".sst", read_sorted_files), ("*.wal", ".wal", read_logs)]
-        names = Files(spark, source).list("")
-        for pattern, suffix, reader in kinds:
-            if any(n.endswith(suffix) for n in names):
+        held = Files(spark, source)
+        for pattern, reader in (("*.sst", read_sorted_files), ("*.wal", read_logs)):
+            if held.any(pattern):
                 rows = reader(spark, source, pattern)
                 number = F.coalesce(F.regexp_extract("file", r"^(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
                 store.append(rows.select("key", "value", "tomb", F.struct(number, "ord").alias("_o")), order_by="_o")

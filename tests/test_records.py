@@ -78,3 +78,23 @@ def test_little_endian_and_names(spark):
     assert spark.range(1).select(B.lossy_utf8(F.lit(b"a\xffb")).alias("n")).first().n == "a�b"
     assert spark.range(1).select(B.checksum(F.lit(b"123456789")).alias("n")).first().n == 0xCBF43926
     assert os.sep == "/"
+
+
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Files of any number of records, in order, with the tail; none passes the driver, and a name that is taken is an error."""
+    monkeypatch.setattr(R.Files, "create", lambda *_: pytest.fail("a file passed the driver"))
+    rows = [(f"{i % 7:08d}.wal", i, b"%d," % i) for i in range(300)] + [("00000009.wal", 0, b"")]
+    df = spark.createDataFrame(rows, "file string, ord long, record binary").repartition(5)
+    assert R.write_files(df, f"{tmp_path}/out", b"tail") == 8
+    for n in {r[0] for r in rows}:
+        assert (tmp_path / "out" / n).read_bytes() == b"".join(r[2] for r in rows if r[0] == n) + b"tail"
+    assert len(os.listdir(tmp_path / "out")) == 8
+    with pytest.raises(Exception, match="FileExistsError"):
+        R.write_files(df, f"{tmp_path}/out", b"other")
+
+
+def test_files_that_executors_do_not_reach_pass_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R.remote, "reaches", lambda _: False)
+    df = spark.createDataFrame([("a.wal", 1, b"2"), ("a.wal", 0, b"1"), ("b.wal", 0, b"3")], "file string, ord long, record binary")
+    assert R.write_files(df, f"{tmp_path}/out") == 2
+    assert (tmp_path / "out" / "a.wal").read_bytes() == b"12"
