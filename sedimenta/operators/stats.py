@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,47 @@ def index_seek_all(index: DataFrame, probes: DataFrame, by: str = "seg") -> Data
     return rows.withColumn("offset", F.coalesce(F.last("offset", ignorenulls=True).over(order), F.lit(0))).where("_side = 1").select(by, "key", "offset")
 
 
+BLOCK = 64
+"""Files whose indexes are sought together."""
+
+
+def index_seek_each(index: DataFrame, keys: DataFrame, by: str = "seg") -> DataFrame:
+    """(by, key, offset) of every key, of distinct ones, in every file of an index, as index_seek_all gives it.
+
+    Indexes of a block of files meet sorted batches of keys: in a batch an index entry answers all keys from its own
+    to the next one's, so probes are neither shuffled nor sorted, and a task holds one block and one batch."""
+    kind, number = index.schema["key"].dataType.simpleString(), index.schema[by].dataType.simpleString()
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own = b.column(0).take(pc.sort_indices(b.column(0), null_placement="at_start"))
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["keys"])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in (b.slice(lo, BLOCK) for lo in range(0, b.num_rows, BLOCK)):
+                own = pa.StructArray.from_arrays(s.columns, fields=list(s.schema))
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["files"])
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for files, probes in zip(b.column("files"), b.column("keys"), strict=True):
+                own = probes.values
+                held = np.array(own.drop_null().to_pylist(), object)
+                for f in files.as_py():
+                    entries = [e for e in f["entries"] if e["key"] is not None]
+                    at = own.null_count + np.searchsorted(held, np.array([e["key"] for e in entries], object)) if entries else np.zeros(0, np.int64)
+                    found = np.repeat([0, *(e["offset"] for e in entries)], np.diff([0, *at, len(own)]))
+                    yield pa.record_batch([pa.repeat(pa.scalar(f["file"], b.schema.field("files").type.value_type.field("file").type), len(own)), own, pa.array(found, pa.int64())], [by, "key", "offset"])
+
+    files = index.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("key", "offset"))).alias("entries"))
+    files = files.select(F.col(by).alias("file"), "entries").mapInArrow(block, f"files array<struct<file: {number}, entries: array<struct<key: {kind}, offset: bigint>>>>")
+    batches = keys.select("key").mapInArrow(sort, f"keys array<{kind}>")
+    met = files.crossJoin(batches).repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.mapInArrow(seek, f"`{by}` {number}, key {kind}, offset long").withColumn("offset", F.coalesce("offset", F.lit(0)))
+
+
 def overlap_pairs(footers: DataFrame, by: str = "seg") -> DataFrame:
     """Pairs of files whose key ranges meet. Files sorted by first key meet those that begin before they
     end: a range join over file statistics, whose rows are files and not data."""

@@ -249,10 +249,7 @@ def sst_index_seek_before_first(spark, sf_dir):
 def sst_index_seek_all(spark, sf_dir):
     """Every key sought in every file: an as-of join."""
     rows = entries(spark, sf_dir)
-    index = S.sparse_index(rows)
-    keys, files = rows.select("key").distinct(), rows.select("seg").distinct().agg(F.collect_list("seg").alias("segs"))
-    probes = keys.join(F.broadcast(files)).select(F.explode("segs").alias("seg"), "key")  # the list of files is metadata
-    return S.index_seek_all(index, probes)
+    return S.index_seek_each(S.sparse_index(rows), rows.select("key").distinct())
 
 
 @query(f"WITH {ENTRIES} SELECT seg, key, value, tomb FROM entries WHERE key = '{LO}'")

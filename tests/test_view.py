@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.model import Bound, Config, excluded, included, unbounded
 from sedimenta.operators import compaction as C
@@ -116,3 +117,25 @@ def test_deletions_stay_while_older_versions_may_exist():
     assert not C.may_drop_deletions(task, [*task.inputs, seg(3, 2, b"k", b"z", lo=0, hi=1)])
     assert C.may_drop_deletions(task, [*task.inputs, seg(3, 2, b"n", b"z", lo=0, hi=1)])
     assert C.may_drop_deletions(task, [*task.inputs, seg(0, 2, b"a", b"z", lo=9, hi=9)])
+
+
+def test_every_key_is_sought_in_every_file_by_batches(spark):
+    """As the as-of join of all pairs, with files that begin late, keys before, between and behind, a null key, and many
+    files; only index and keys are shuffled, not their pairs."""
+    index = spark.createDataFrame([(f, k, o) for f in range(150) for o, k in enumerate([None, *(f"{i:03d}" for i in range(f, 300, 17))]) if o or f % 2], "seg int, key string, offset long")
+    keys = spark.createDataFrame([(None,), *((f"{i:03d}",) for i in range(0, 300, 7)), ("",), ("zé",)], "key string")
+    probes = index.select("seg").distinct().crossJoin(keys)
+    got = S.index_seek_each(index, keys)
+    assert got.columns == ["seg", "key", "offset"] and got.schema == S.index_seek_all(index, probes).schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, S.index_seek_all(index, probes).collect()))
+    assert S.index_seek_each(index.where("false"), keys).count() == S.index_seek_each(index, keys.where("false")).count() == 0
+    binary = S.index_seek_each(index.withColumn("key", F.col("key").cast("binary")), keys.select(F.col("key").cast("binary")))
+    assert sorted(map(repr, binary.withColumn("key", F.col("key").cast("string")).collect())) == sorted(map(repr, got.collect()))
+
+
+def test_seek_all_query_sorts_no_probes(spark):
+    from sedimenta.plans import catalog
+
+    plan = catalog.sst_index_seek_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 2  # the index's own
+    assert "_side" not in plan
