@@ -5,10 +5,12 @@ the event id as recency; 500 events make a segment."""
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -419,12 +421,19 @@ def stream_latest_values(spark, sf_dir):
 def _put_one_by_one(spark, sf_dir) -> Store:
     """A store that got every record through put and delete, froze its buffer and compacted as it went."""
     store = Store.create(spark, f"{scratch_dir(spark)}/puts-{uuid.uuid4().hex}", Config(memtable_size_limit=500_000, base_level_bytes=4000, max_l0_files=2, num_levels=4))
+
+    def packed(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([pickle.dumps(list(zip(*(c.to_pylist() for c in b.columns), strict=True)))], pa.binary())], ["rows"])
+
+    log = change_log(spark, sf_dir).orderBy("seq").select(F.col("key").cast("binary").alias("key"), F.when(~F.col("tomb"), F.col("value")).cast("binary").alias("value"))
     batch: list[tuple[bytes, bytes | None]] = []
-    for r in change_log(spark, sf_dir).orderBy("seq").toLocalIterator():  # a client's writes, one partition at a time
-        batch.append((r.key.encode(), None if r.tomb else r.value.encode()))
-        if len(batch) == 1000:
-            store.write(batch)
-            batch = []
+    for r in log.mapInArrow(packed, "rows binary").toLocalIterator():  # a client's writes, one partition at a time
+        batch += pickle.loads(r.rows)
+        full = len(batch) // 1000 * 1000
+        for i in range(0, full, 1000):
+            store.write(batch[i : i + 1000])
+        batch = batch[full:]
     store.write(batch)
     return store
 

@@ -7,6 +7,7 @@ import threading
 import uuid
 from dataclasses import asdict, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,12 @@ from sedimenta.sources.records import DELETE, PUT, read_logs, read_sorted_files,
 RECENCY = ["commit", "ord"]
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows of MUTATION."""
+    kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=MUTATION.names)
+
+
 class _Flight:
     """A compaction that runs in a thread of its own; the store applies its result."""
 
@@ -180,9 +187,12 @@ class Store:
         if not self._buffer:
             return
         commit = self.snapshot.next_commit
-        rows = [(bytearray(k), None if v is None else bytearray(v), v is None, commit, o) for k, (v, o) in self._buffer.items()]
-        made = self._data(self.spark.createDataFrame(rows, MUTATION).coalesce(1).sortWithinPartitions("key"), 0, len(rows))
-        self._commit(made, {"next_commit": commit + 1, "flushed_log": self._log_file - 1})
+        rows = [(k, v, v is None, commit, o) for k, (v, o) in sorted(self._buffer.items())]
+        folder = self._written(self.spark.createDataFrame(_table(rows), MUTATION).coalesce(1), 0, len(rows))
+        (name,) = (n for n in self.files.list(folder) if n.endswith(".parquet"))
+        size = sum(len(k) + len(v or b"") + 4 for k, v, *_ in rows)  # known here: no job reads the file again
+        made = Segment(0, -1, rows[0][0], rows[-1][0], len(rows), size, commit, commit, f"{folder}/{name}", sum(r[2] for r in rows))
+        self._commit([made], {"next_commit": commit + 1, "flushed_log": self._log_file - 1})
         self._buffer.clear()
         self._size = self._ord = 0
         for name in self.files.list("wal"):
@@ -213,13 +223,18 @@ class Store:
         self._commit(self._data(won, 0), {"next_commit": commit + 1} | ({"sources": {source[0]: source[1]}} if source else {}))
         return True
 
-    def _data(self, rows: DataFrame, level: int, keys: int | None = None) -> list[Segment]:
-        """Rows, which are in key ranges and in key order, as Parquet with key Blooms: the files' statistics, not live yet.
+    def _written(self, rows: DataFrame, level: int, keys: int | None = None) -> str:
+        """Rows, which are in key ranges and in key order, as Parquet with key Blooms: their folder.
         keys: how many a file will have at most, which sizes its Bloom; unknown, the writer tries several."""
         name = f"data/L{level}-{self.snapshot.next_file:08d}-{uuid.uuid4().hex[:12]}"  # a writer that loses leaves it to vacuum
         writer = rows.write.option("parquet.bloom.filter.enabled#key", "true")
         writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(keys, 1))) if keys is not None else writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{name}")
+        return name
+
+    def _data(self, rows: DataFrame, level: int, keys: int | None = None) -> list[Segment]:
+        """As _written: the files' statistics, not live yet."""
+        name = self._written(rows, level, keys)
         made = self.spark.read.schema(MUTATION).parquet(f"{self.path}/{name}").withColumn("file", F.col("_metadata.file_path"))
         size = F.sum(entry_bytes(F.col("key"), F.col("value")))
         stats = made.groupBy("file").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"), size.alias("bytes"), F.min("commit").alias("lo"), F.max("commit").alias("hi"), F.count_if("tomb").alias("gone"))
@@ -244,8 +259,7 @@ class Store:
         return [s for s in self.snapshot.segments.values() if may(s)]
 
     def _buffered(self) -> DataFrame:
-        rows = [(bytearray(k), None if v is None else bytearray(v), v is None, self.snapshot.next_commit, o) for k, (v, o) in self._buffer.items()]
-        return self.spark.createDataFrame(rows, MUTATION)
+        return self.spark.createDataFrame(_table([(k, v, v is None, self.snapshot.next_commit, o) for k, (v, o) in self._buffer.items()]), MUTATION)
 
     def _files(self, segments: list[Segment]) -> DataFrame:
         return self.spark.read.schema(MUTATION).parquet(*[f"{self.path}/{s.path}" for s in segments])

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -218,3 +219,17 @@ def test_lookups_open_the_files_of_their_range(spark, tmp_path):
     assert s.prefix(b"30").count() == 40
     assert opened == [sum(x.first_key[:1] == c for x in s.segments()) for c in (b"2", b"3")]
     assert s.multi_get(spark.createDataFrame([], "key binary")).count() == 0
+
+
+def test_freeze_reads_nothing_again(spark, tmp_path, monkeypatch):
+    """A frozen buffer's statistics are known to the writer, and equal those of its file."""
+    s = Store.create(spark, f"{tmp_path}/s")
+    s.write([(b"b", b"2"), (b"\xff", b"x" * 300), (b"a", None), (b"b", b"22"), (b"c", b"")])
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_data", lambda *_: pytest.fail("the file was read again"))
+        s.freeze()
+    (own,) = s.segments()
+    (want,) = s._data(s._files([own]).coalesce(1), 0)
+    assert replace(own, file_id=-1, path="") == replace(want, path="")
+    assert [(bytes(r.key), bytes(r.value)) for r in s.scan().collect()] == [(b"b", b"22"), (b"\xff", b"x" * 300)]
+    assert s.get(b"a") is None and own.num_deletions == 2
