@@ -1,3 +1,4 @@
+import os
 import random
 from dataclasses import replace
 
@@ -6,6 +7,7 @@ import pytest
 from sedimenta.model import Config, excluded, included
 from sedimenta.operators.compaction import Task
 from sedimenta.sources import manifest
+from sedimenta.sources.files import Files
 from sedimenta.sources.manifest import Conflict, replayed
 from sedimenta.sources.records import record, sorted_file
 from sedimenta.store import Store
@@ -233,3 +235,15 @@ def test_freeze_reads_nothing_again(spark, tmp_path, monkeypatch):
     assert replace(own, file_id=-1, path="") == replace(want, path="")
     assert [(bytes(r.key), bytes(r.value)) for r in s.scan().collect()] == [(b"b", b"22"), (b"\xff", b"x" * 300)]
     assert s.get(b"a") is None and own.num_deletions == 2
+
+
+def test_local_log_is_not_sent_through_the_gateway(spark, tmp_path, monkeypatch):
+    """Batches are synced one by one, and readable at once; the name can't be taken twice."""
+    files, synced, real = Files(spark, f"file:{tmp_path}"), [], os.fsync
+    monkeypatch.setattr(os, "fsync", lambda n: (synced.append(n), real(n))[1])
+    log = files.appender("wal/a b%20.wal")
+    for i in range(3):
+        log.write(b"x" * i)
+        assert files.read("wal/a b%20.wal") == b"x" * (i * (i + 1) // 2)
+    assert len(synced) == 3 and files.appender("wal/a b%20.wal") is None
+    log.close()
